@@ -42,7 +42,21 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, scratch)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_ngram_jaccard, op5_exact_dedup, op9_token_output)}
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repetition import repetition_rules
+
+    return repetition_rules(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_packing, op2_ngram_jaccard, op4_substring_dedup, op5_exact_dedup, op9_token_output, op10_quality_rules)
+}
 
 ORACLES: dict[str, str] = {}
 ORACLES["op5_exact_dedup"] = """

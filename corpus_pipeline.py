@@ -7,8 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from quillgrid.llm.exact import drop_copies
 from quillgrid.llm.jaccard import drop_near_copies
 from quillgrid.llm.packing import pack
+from quillgrid.llm.quality import keep_good, train
 from quillgrid.llm.queries import tokenizer_path
-from quillgrid.llm.store import Scratch, read_table, shared_dir
+from quillgrid.llm.store import Scratch, read_table
+from quillgrid.llm.substring import cut_repeats
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it learns from the labels of documents that are here."""
+    return keep_good(docs, train(docs, read_table(spark, sf_dir, "labels"), Scratch(spark, "stage-quality")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,12 +28,17 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_copies(docs, Scratch(spark, "stage-near"))
 
 
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows of 35 that are met elsewhere among the documents still here go from the texts; every document stays."""
+    return cut_repeats(docs, Scratch(spark, "stage-substring"))
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, with their ids."""
     return pack(docs, tokenizer_path("word_bpe_49k.json"), 2)
 
 
-STAGES = [("exact", exact_stage), ("near", near_stage), ("packing", packing_stage)]
+STAGES = [("quality", quality_stage), ("exact", exact_stage), ("near", near_stage), ("substring", substring_stage), ("packing", packing_stage)]
 
 #: Trained models and tokenisers are beyond SQL: the stages are tested against brute force.
 ORACLE_SQL = None

@@ -39,7 +39,7 @@ HOT = 24
 #: Sets of at most this size are indexed by single shingles where the first index does not do.
 SMALL = 16
 #: Signatures gathered by a task before it sends them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 def limit(n: int) -> int:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from .store import Scratch, read_table
 
@@ -54,8 +54,38 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_documents
+
+    return encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ids=False)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity, train
+
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return score_toxicity(docs, train(docs, labels, Scratch(spark, "op6")))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(read_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality, train
+
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return score_quality(docs, train(docs, labels, Scratch(spark, "op8")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_ngram_jaccard, op4_substring_dedup, op5_exact_dedup, op9_token_output, op10_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_packing, op2_ngram_jaccard, op3_sentencepiece, op4_substring_dedup, op5_exact_dedup,
+        op6_toxicity, op7_license_scan, op8_quality_classifier, op9_token_output, op10_quality_rules,
+    )
 }
 
 ORACLES: dict[str, str] = {}

@@ -21,11 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Unless the session says otherwise, at most 8 MB of rows go to a Python worker at once, long texts or not."""
+    for key, default, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1), str(8 << 20)),):
+        if spark.conf.get(key, default) in (default, None):
+            spark.conf.set(key, value)
+    return spark
+
+
 class Scratch:
     """Parquet tables of one run below the shared folder."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+        self.spark = small_batches(spark)
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.made = 0
 
@@ -75,4 +83,4 @@ def filter_by(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")

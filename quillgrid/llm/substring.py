@@ -24,7 +24,7 @@ from .text import U, Words, mix, powers, run_starts, slices, text_bytes, window_
 
 WINDOW, SEED = 35, 16
 #: Rows gathered by a task before it sends them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 _PLACE = U((1 << 28) - 1)
 #: Kinds of index rows: asks and answers, answers only, or settled in the task that made it.
 ASKS, ANSWERS, SETTLED = 0, 1, 2

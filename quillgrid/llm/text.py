@@ -6,6 +6,8 @@ a polynomial over a table of random byte values modulo 2**64, then mixed.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text worked on at a time; bounds the working memory of a task.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _rng = np.random.default_rng(20250801)
 BYTE_VALUES = _rng.integers(0, 2**64, 256, dtype=U) | U(1)
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -60,6 +62,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about ``limit`` bytes of text (a longer row stands alone)."""
     for batch in batches:
@@ -72,6 +81,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
+    give_back()
 
 
 def spans_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

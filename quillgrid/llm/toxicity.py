@@ -12,14 +12,18 @@ from .labels import fold, labelled, sample, sigmoid
 from .store import Scratch
 from .text import U, Words, mix, run_starts, slices, text_bytes
 
-#: Labelled rows that the model is fitted on, at most, and segments used of each.
-SAMPLE, SEGMENTS = 6_000, 48
-#: Words of a segment; a text is scored by its most toxic one.
-SEGMENT = 12
-BUCKETS, DIM, NGRAMS = 1 << 16, 8, (3, 4, 5)
-ROUNDS, EPOCHS, RATE, DECAY = 3, 25, 0.08, 1e-6
+#: Labelled rows that the model is fitted on, at most; segments used of a toxic one and of another; words used of any.
+SAMPLE, SEGMENTS, CLEAN_SEGMENTS, TRAIN_WORDS = 5_000, 256, 16, 16_384
+#: Words of a segment, and the most toxic segments by which a text is scored.
+SEGMENT, TOP = 6, 4
+#: Part of the sample (one in so many) that is kept for the curve from segments to texts.
+CURVE = 4
+BUCKETS, DIM, NGRAMS = 1 << 18, 8, (3, 4, 5, 6, 7, 8)
+ROUNDS, EPOCHS, RATE, DECAY = 3, 20, 0.15, 1e-6
+#: Subwords met in fewer of the texts say nothing.
+LEAST_TEXTS = 8
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
-_C = np.random.default_rng(77).integers(1, 2**63, 8, dtype=U) | U(1)
+_C = np.random.default_rng(77).integers(1, 2**63, 16, dtype=U) | U(1)
 
 
 def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +75,15 @@ def distinct_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
 class Toxic:
     """After training the embedding and the softmax fold into one number for each bucket."""
 
-    def __init__(self, bucket: np.ndarray, bias: float, slope: float, shift: float):
-        self.bucket, self.bias, self.slope, self.shift = bucket.astype(np.float32), bias, slope, shift
+    def __init__(self, bucket: np.ndarray, bias: float, curve: np.ndarray):
+        self.bucket, self.bias, self.curve = bucket.astype(np.float32), bias, curve
 
-    def most(self, column: pa.Array) -> np.ndarray:
-        """Logit of the most toxic segment of each text (of no words: the bias)."""
+    def pooled(self, column: pa.Array) -> np.ndarray:
+        """Logits of the TOP most toxic segments of each text (the bias, where it has fewer), the log of its segments, and 1."""
         words, first, owner = segmented(column)
-        out = np.full(len(column), self.bias)
+        n = np.bincount(owner, minlength=len(column))
+        out = np.full((len(column), TOP + 2), self.bias)
+        out[:, TOP], out[:, TOP + 1] = np.log1p(n), 1.0
         if len(first) == 0:
             return out
         place, number = distinct_words(words)
@@ -85,25 +91,26 @@ class Toxic:
         value = np.add.reduceat(self.bucket[sub].astype(float), bounds[:-1]) / np.diff(bounds)
         size = np.diff(np.append(first, len(words.hashes)))
         logit = np.add.reduceat(value[number], first) / size + self.bias
-        best = np.full(len(column), -np.inf)
-        np.maximum.at(best, owner, logit)
-        return np.where(np.isfinite(best), best, out)
+        order = np.lexsort((-logit, owner))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+        top = rank < TOP
+        out[owner[order][top], rank[top]] = np.maximum(logit[order][top], self.bias)
+        return out
 
     def score(self, column: pa.Array) -> np.ndarray:
-        return sigmoid(self.slope * self.most(column) + self.shift)
+        return sigmoid(self.pooled(column) @ self.curve)
 
 
-def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (not negative) and shift of a logistic curve through (x, y), by Newton steps."""
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = sigmoid(a * x + b)
-        w = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([((p - y) * x).sum() + 1e-3 * (a - 1), (p - y).sum()])
-        h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -2, 2))
-    return max(a, 0.0), b
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+    """Weights of a logistic regression with some ridge (none on the last column), by damped Newton steps."""
+    w = np.zeros(x.shape[1])
+    r = np.full(len(w), ridge)
+    r[-1] = 1e-6
+    for _ in range(100):
+        p = sigmoid(x @ w)
+        step = np.linalg.solve((x.T * np.maximum(p * (1 - p), 1e-6)) @ x + np.diag(r), x.T @ (p - y) + r * w)
+        w -= np.clip(step, -1, 1)
+    return w
 
 
 def fit(texts: pa.Array, y: np.ndarray, seed: int = 5) -> Toxic:
@@ -114,15 +121,19 @@ def fit(texts: pa.Array, y: np.ndarray, seed: int = 5) -> Toxic:
     """
     share = min(max(y.mean() if len(y) else 0.5, 1e-3), 1 - 1e-3)
     if len(y) == 0 or y.min() == y.max():
-        return Toxic(np.zeros(BUCKETS), 0.0, 1.0, float(np.log(share / (1 - share))))
+        return Toxic(np.zeros(BUCKETS), 0.0, np.append(np.zeros(TOP + 1), np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
+    kept = np.arange(len(y)) % CURVE == CURVE - 1 if len(y) >= 200 else np.ones(len(y), bool)
+    all_texts, all_y = texts, y
+    if not kept.all() and 0 < y[~kept].mean() < 1:
+        texts, y = texts.filter(pa.array(~kept)), y[~kept]
     words, first, owner = segmented(texts)
     size = np.diff(np.append(first, len(words.hashes)))
     # a bounded number of segments of each text, chosen at random
     draw = rng.random(len(first))
     order = np.lexsort((draw, owner))
     rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-    chosen = np.sort(order[rank < SEGMENTS])
+    chosen = np.sort(order[rank < np.where(y[owner[order]] > 0, SEGMENTS, CLEAN_SEGMENTS)])
     first, size, owner = first[chosen], size[chosen], owner[chosen]
     place, number = distinct_words(words)
     at = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -134,13 +145,27 @@ def fit(texts: pa.Array, y: np.ndarray, seed: int = 5) -> Toxic:
     number[by] = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(by))))
     place = place[used]
     sub, bounds = subwords(words.data, words.starts[place], words.ends[place])
-    seg_begin, n_sub = np.cumsum(size) - size, np.diff(bounds)
+    n_sub = np.diff(bounds)
     sub_word = np.repeat(np.arange(len(place)), n_sub)
-    seg_word = np.repeat(np.arange(len(size)), size)
+    # texts with each word, then (at most) with each subword; rare subwords leave the bags, not the counts
+    seen = np.sort(number * len(y) + np.repeat(owner, size))
+    texts_of = np.bincount(seen[run_starts(seen)] // len(y), minlength=len(place))
+    common = np.bincount(sub, texts_of[sub_word], BUCKETS) >= LEAST_TEXTS
+    keep = common[sub]
+    sub, sub_word = sub[keep], sub_word[keep]
+    has = np.bincount(sub_word, minlength=len(place)) > 0
+    renumber = np.cumsum(has) - 1
+    sub_word, n_sub, word_on = renumber[sub_word], n_sub[has], has[number]
+    seg_word = np.repeat(np.arange(len(size)), size)[word_on]
+    number = renumber[number[word_on]]
+    bounds = np.searchsorted(sub_word, np.arange(len(n_sub)))
+    seg_first = run_starts(seg_word)
+    seg_full = seg_word[seg_first]
     order = np.argsort(sub, kind="stable")
     sub_sorted, sub_first = sub[order], run_starts(sub[order])
     by_word = np.argsort(number, kind="stable")
     word_first = run_starts(number[by_word])
+    word_full = number[by_word][word_first]
     e = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     w, bias = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.log(np.array([1 - share, share], np.float32))
     params = [e, w, bias]
@@ -153,41 +178,43 @@ def fit(texts: pa.Array, y: np.ndarray, seed: int = 5) -> Toxic:
             top = np.lexsort((-logit, owner))  # noqa: F821
             lead = np.zeros(len(owner), bool)
             lead[top[run_starts(owner[top])]] = True
-            weight = np.where(toxic, np.where(lead, 3.0, 0.0), 1.0)
+            weight = np.where(toxic, np.where(lead, 5.0, 0.0), 1.0)
         for _ in range(EPOCHS):
-            vec = np.add.reduceat(e[sub], bounds[:-1]) / n_sub[:, None]
-            bag = np.add.reduceat(vec[number], seg_begin) / size[:, None]
+            vec = np.add.reduceat(e[sub], bounds) / n_sub[:, None]
+            bag = np.zeros((len(size), DIM), np.float32)
+            bag[seg_full] = np.add.reduceat(vec[number], seg_first) / size[seg_full, None]
             z = bag @ w + bias
             p1 = sigmoid(z[:, 1] - z[:, 0])
             logit = z[:, 1] - z[:, 0]
             d = ((p1 - target) * weight / weight.sum()).astype(np.float32)
             dz = np.stack((-d, d), 1)
             gbag = (dz @ w.T) / size[:, None]
-            gvec = np.add.reduceat(gbag[seg_word][by_word], word_first) / n_sub[:, None]
+            gvec = np.zeros((len(n_sub), DIM), np.float32)
+            gvec[word_full] = np.add.reduceat(gbag[seg_word[by_word]], word_first) / n_sub[word_full, None]
             ge = np.zeros_like(e)
-            ge[sub_sorted[sub_first]] = np.add.reduceat(gvec[sub_word][order], sub_first)
+            ge[sub_sorted[sub_first]] = np.add.reduceat(gvec[sub_word[order]], sub_first)
             grads = [ge + DECAY * e, bag.T @ dz + DECAY * w, dz.sum(0)]
             step += 1
             for k in range(3):
                 m1[k] = 0.9 * m1[k] + 0.1 * grads[k]
                 m2[k] = 0.99 * m2[k] + 0.01 * grads[k] ** 2
                 params[k] -= (RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    model = Toxic(e @ (w[:, 1] - w[:, 0]), float(bias[1] - bias[0]), 1.0, 0.0)
-    model.slope, model.shift = platt(model.most(texts), y)
+    model = Toxic((e @ (w[:, 1] - w[:, 0])) * common, float(bias[1] - bias[0]), np.zeros(TOP + 2))
+    model.curve = logistic(model.pooled(all_texts.filter(pa.array(kept))), all_y[kept])
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE) -> Toxic:
-    """A model from at most ``bound`` labelled rows outside the held-out fold; of their texts, some SEGMENTS segments come to the driver."""
+    """A model from at most ``bound`` labelled rows outside the held-out fold; of each text, at most TRAIN_WORDS words come to the driver."""
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a long text comes as SEGMENTS runs of segments spread over the whole of it
+        # of a very long text, segments spread over the whole of it
         for batch in slices(batches):
             out = []
             for text in batch.column("text").cast(pa.large_binary()).to_pylist():
                 words = text.split()
-                if len(words) > SEGMENT * SEGMENTS * 2:
-                    step = len(words) // (2 * SEGMENTS)
-                    words = [w for k in range(2 * SEGMENTS) for w in words[k * step : k * step + SEGMENT]]
+                if len(words) > TRAIN_WORDS:
+                    n = TRAIN_WORDS // SEGMENT
+                    words = [w for k in range(n) for w in words[k * len(words) // n :][:SEGMENT]]
                 out.append(b" ".join(words).decode(errors="replace"))
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.string())], ["label", "text"])
 

@@ -102,13 +102,16 @@ class Encoder:
         self.size = np.insert(self.size, where, sizes)
         self.ids = np.concatenate((self.ids, ids))
 
+    def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return cuts(data, offsets, self.kind)
+
     def flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and the n+1 bounds of the texts in them."""
         if len(data) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         if self.kind == SPACE_UNITS:
             data = LOWER[data]
-        starts = cuts(data, offsets, self.kind)
+        starts = self.starts(data, offsets)
         starts = starts[starts < len(data)]
         ends = np.append(starts[1:], len(data))
         if self.kind == SPACE_UNITS:

@@ -37,7 +37,7 @@ def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int) -> bytes:
     seq = ids.astype(np.uint32)
     first = np.zeros(len(seq) + 1, bool)
     first[bounds] = True
-    first = first[: len(seq)]
+    first = first[: len(seq)]  # a symbol that begins a document
     left, right, size = [], [], [np.ones(terminals, np.int64)]
     n = terminals
     narrow = terminals < 1 << 16
@@ -84,7 +84,8 @@ def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int) -> bytes:
         n += len(pairs)
     rules = np.stack((np.concatenate(left), np.concatenate(right)), 1).astype("<u4") if left else np.zeros((0, 2), "<u4")
     lengths = np.concatenate(size)[terminals:].astype("<u4")
-    starts = np.append(np.flatnonzero(first), len(seq)).astype("<u4")
+    full = np.diff(bounds) > 0  # a document without ids begins where the next one does
+    starts = np.append(np.flatnonzero(first), len(seq))[np.append(np.cumsum(full) - full, full.sum())].astype("<u4")
     head = _HEAD.pack(MAGIC, 1, terminals, len(rules), len(starts) - 1, len(seq), len(ids))
     return b"".join((head, rules.tobytes(), lengths.tobytes(), starts.tobytes(), np.diff(bounds).astype("<u4").tobytes(), seq.astype("<u2" if n <= 1 << 16 else "<u4").tobytes()))
 

@@ -123,7 +123,9 @@ def fit(texts: pa.Array, y: np.ndarray, seed: int = 5) -> Toxic:
     if len(y) == 0 or y.min() == y.max():
         return Toxic(np.zeros(BUCKETS), 0.0, np.append(np.zeros(TOP + 1), np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
-    kept = np.arange(len(y)) % CURVE == CURVE - 1 if len(y) >= 200 else np.ones(len(y), bool)
+    kept = rng.random(len(y)) < 1 / CURVE if len(y) >= 200 else np.ones(len(y), bool)
+    if not 0 < y[kept].mean() < 1:
+        kept = np.ones(len(y), bool)
     all_texts, all_y = texts, y
     if not kept.all() and 0 < y[~kept].mean() < 1:
         texts, y = texts.filter(pa.array(~kept)), y[~kept]
@@ -200,7 +202,14 @@ def fit(texts: pa.Array, y: np.ndarray, seed: int = 5) -> Toxic:
                 m2[k] = 0.99 * m2[k] + 0.01 * grads[k] ** 2
                 params[k] -= (RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     model = Toxic((e @ (w[:, 1] - w[:, 0])) * common, float(bias[1] - bias[0]), np.zeros(TOP + 2))
-    model.curve = logistic(model.pooled(all_texts.filter(pa.array(kept))), all_y[kept])
+    pooled, used = model.pooled(all_texts.filter(pa.array(kept))), np.arange(TOP + 2)
+    while True:  # a more toxic segment never makes a text less toxic
+        w = logistic(pooled[:, used], all_y[kept])
+        against = (used < TOP) & (w < 0)
+        if not against.any():
+            break
+        used = used[~against]
+    model.curve[used] = w
     return model
 
 

@@ -128,16 +128,16 @@ def test_trees_learn_and_empty_texts_score():
 
 def test_toxicity_finds_unseen_spellings():
     rng = random.Random(5)
-    calm = ["".join(rng.choice(["ta", "re", "mo", "sil"]) for _ in range(3)) for _ in range(300)]
-    bad = ["vogonish", "vogonly", "vogoner", "vogons"]
+    calm = ["".join(rng.choice(["ta", "re", "mo", "sil", "lu", "gen"]) for _ in range(4)) for _ in range(400)]
+    bad = ["vogonish", "vogonly", "vogoner", "vogons", "vogonism"]
     texts, y = [], []
-    for i in range(400):
+    for i in range(600):
         words = [rng.choice(calm) for _ in range(rng.randrange(5, 60))]
         if i % 4 == 0:
             words[rng.randrange(len(words))] = rng.choice(bad)
         texts.append(" ".join(words))
         y.append(float(i % 4 == 0))
     model = toxicity.fit(pa.array(texts), np.array(y))
-    s = model.score(pa.array([f"{calm[0]} {calm[1]} {w} {calm[2]}" for w in ("vogonly", "vogonxs", calm[3])] + ["", None]))
-    assert s[0] > 0.3 > s[2] and s[1] > 20 * s[2] and s[3] == s[4] and 0 <= s[3] <= 1
+    seen, unseen, clean, empty, null = model.score(pa.array([" ".join([*calm[:9], w]) for w in ("vogonly", "vogonxs", calm[9])] + ["", None]))
+    assert seen > 0.3 > clean and unseen > 10 * clean and empty == null and 0 <= empty <= 1
     assert toxicity.fit(pa.array(["a"]), np.array([1.0])).score(pa.array(["b"]))[0] > 0.9

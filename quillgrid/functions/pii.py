@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import nn, strip
+from .text import let, nn, strip
 
 # What each kind looks like.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
@@ -16,18 +16,20 @@ KINDS = (("EMAIL", EMAIL, False), ("ID", NATIONAL_ID, False), ("PERSON", NAME_FI
 
 
 def _numbered(text: Column, kind: str, pattern: str, labelled: bool) -> Column:
-    """Each match becomes [KIND_n], n from 1 on: the parts between matches and the placeholders are zipped."""
-    parts = F.split(text, pattern, -1)
-    count = F.size(parts) - 1
-    labels = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if labelled else None
+    """Each match becomes [KIND_n], n from 1 on: the parts between matches and the placeholders are zipped. text is used as it is, so it should be bound."""
+    def join(parts: Column, labels: Column | None) -> Column:
+        def piece(part: Column, i: Column) -> Column:
+            mark = F.concat(F.lit(f"[{kind}_"), (i + 1).cast("string"), F.lit("]"))
+            if labels is not None:
+                mark = F.concat(F.try_element_at(labels, i + 1), F.lit(": "), mark)
+            return F.when(i < F.size(parts) - 1, F.concat(part, mark)).otherwise(part)
 
-    def piece(part: Column, i: Column) -> Column:
-        mark = F.concat(F.lit(f"[{kind}_"), (i + 1).cast("string"), F.lit("]"))
-        if labelled:
-            mark = F.concat(F.try_element_at(labels, i + 1), F.lit(": "), mark)
-        return F.when(i < count, F.concat(part, mark)).otherwise(part)
+        return F.array_join(F.transform(parts, piece), "")
 
-    return F.array_join(F.transform(parts, piece), "")
+    parts = F.split(text, pattern, -1)
+    if not labelled:
+        return let(parts, lambda p: join(p, None))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda found: let(parts, lambda p: join(p, found)))
 
 
 def _audit(text: Column, kind: str, pattern: str, labelled: bool) -> Column:
@@ -40,18 +42,23 @@ def _audit(text: Column, kind: str, pattern: str, labelled: bool) -> Column:
     )
 
 
+def _step(kind: str, pattern: str, labelled: bool):
+    return lambda text: _numbered(text, kind, pattern, labelled)
+
+
 def redact(text: Column) -> Column:
     """The redacted text; numbers start anew for every value."""
     out = nn(text)
     for kind, pattern, labelled in KINDS:
-        out = _numbered(out, kind, pattern, labelled)
+        out = let(out, _step(kind, pattern, labelled))
     return out
 
 
 def audit(text: Column) -> Column:
     """array<struct<entity_type, original_value, replacement_value>>, kind by kind."""
-    out, entries = nn(text), []
-    for kind, pattern, labelled in KINDS:
-        entries.append(_audit(out, kind, pattern, labelled))
-        out = _numbered(out, kind, pattern, labelled)
-    return F.concat(*entries)
+    def rest(t: Column, k: int) -> Column:
+        kind, pattern, labelled = KINDS[k]
+        own = _audit(t, kind, pattern, labelled)
+        return own if k + 1 == len(KINDS) else F.concat(own, let(_numbered(t, kind, pattern, labelled), lambda u: rest(u, k + 1)))
+
+    return let(nn(text), lambda t: rest(t, 0))

@@ -54,6 +54,11 @@ def nn(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(c: Column, f) -> Column:
+    """f(c) with c evaluated once, however often f uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def squash(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(nn(c), r"(?U)\s+", " "))
@@ -283,27 +288,35 @@ def clean_lines(text: Column) -> Column:
 
 
 def drop_page_numbers(lines: Column) -> Column:
-    last = F.array_max(F.transform(lines, lambda x, i: F.when(x.rlike(PAGE_NUMBER), 0).otherwise(i + 1)))
-    return F.slice(lines, F.lit(1), F.coalesce(last, F.lit(0)))
+    last = lambda v: F.array_max(F.transform(v, lambda x, i: F.when(x.rlike(PAGE_NUMBER), 0).otherwise(i + 1)))
+    return let(lines, lambda v: F.slice(v, F.lit(1), F.coalesce(last(v), F.lit(0))))
 
 
 def heading_guess(text: Column, most: int = 120) -> Column:
     """C10."""
-    t = strip(text)
-    first = strip(F.element_at(F.split(t, r"[.!?\n:;]+", 2), 1))
-    picked = F.when(first != "", first).otherwise(F.left(t, F.lit(most)))
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(picked, NOISE, " "), r"(?U)\s+", " "), r"^[ \-,:;()]+|[ \-,:;()]+$", "")
-    clean = F.when(F.trim(clean) == "", squash(F.left(t, F.lit(most)))).otherwise(clean)
-    words = words_of(clean)
-    clean = F.when(F.size(words) > 12, F.array_join(F.slice(words, 1, 12), " ")).otherwise(clean)
-    cut = F.left(clean, F.lit(most))
-    return strip(F.when(F.length(clean) > most, F.when(cut.rlike("^.+ "), F.regexp_replace(cut, " [^ ]*$", "")).otherwise(cut)).otherwise(clean))
+    def clean(picked: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(picked, NOISE, " "), r"(?U)\s+", " "), r"^[ \-,:;()]+|[ \-,:;()]+$", "")
+
+    def cut(t: Column) -> Column:
+        short = F.left(t, F.lit(most))
+        return strip(F.when(F.length(t) > most, F.when(short.rlike("^.+ "), F.regexp_replace(short, " [^ ]*$", "")).otherwise(short)).otherwise(t))
+
+    def guess(t: Column) -> Column:
+        first = let(strip(F.element_at(F.split(t, r"[.!?\n:;]+", 2), 1)), lambda x: F.when(x != "", x).otherwise(F.left(t, F.lit(most))))
+        whole = let(clean(first), lambda x: F.when(F.trim(x) == "", squash(F.left(t, F.lit(most)))).otherwise(x))
+        few = let(whole, lambda x: let(words_of(x), lambda w: F.when(F.size(w) > 12, F.array_join(F.slice(w, 1, 12), " ")).otherwise(x)))
+        return let(few, cut)
+
+    return let(strip(text), guess)
 
 
 def statement_area(heading: Column, body: Column, page: Column) -> Column:
     """C11."""
     h = F.lower(squash(heading))
-    both = F.trim(F.concat(h, F.lit(" "), F.lower(squash(body))))
+    return let(F.trim(F.concat(h, F.lit(" "), F.lower(squash(body)))), lambda both: _area(nn(heading), h, both, page))
+
+
+def _area(heading: Column, h: Column, both: Column, page: Column) -> Column:
     return (
         F.when(nn(heading).rlike(NOTE_HEADING) | starts_any(h, ("note ", "notes ")), "notes")
         .when(squash(heading).rlike(NUMBERED_NOTE), "notes")
@@ -369,7 +382,10 @@ def atomic_label(leaf: Column, text: Column) -> Column:
 
 def truncate(c: Column, n: int) -> Column:
     """C18."""
-    t = strip(c)
+    return let(strip(c), lambda t: _cut_to(t, n))
+
+
+def _cut_to(t: Column, n: int) -> Column:
     return F.when(F.length(t) <= n, t).otherwise(F.concat(rstrip(F.left(t, F.lit(n - 1))), F.lit("…")))
 
 

@@ -50,7 +50,7 @@ def _fold(lines: Column, step) -> Column:
 
     none = F.array().cast("array<string>")
     more = lambda s, x: state(s["heading"], s["note"], s["in_notes"], F.concat(s["body"], F.array(x)), s["done"])
-    return F.aggregate(lines, zero, lambda s, x: step(s, x, flushed(s), state, none, more(s, x)), flushed)
+    return F.aggregate(lines, zero, lambda s, x: step(s, x, flushed(s), state, none, more(s, x)), flushed)  # lazily: only the branch taken is built
 
 
 def plain_sections(lines: Column) -> Column:
@@ -80,11 +80,16 @@ def note_sections(lines: Column) -> Column:
 
 def sections(lines: Column) -> Column:
     """array<struct<heading, lines>> of a page; a page of headings only is one section without heading."""
-    plain = plain_sections(lines)
-    plain = F.when(F.size(plain) > 0, plain).otherwise(F.array(F.struct(F.lit("").alias("heading"), lines.alias("lines"))))
-    has_title = F.exists(lines, lambda x: F.upper(x) == T.NOTES_TITLE)
-    notes = note_sections(lines)
-    return F.when(F.size(lines) == 0, F.array().cast(_SECTION)).when(has_title, F.when(F.size(notes) > 0, notes).otherwise(plain)).otherwise(plain)
+    def plain(v: Column) -> Column:
+        alone = F.array(F.struct(F.lit("").alias("heading"), v.alias("lines")))
+        return T.let(plain_sections(v), lambda p: F.when(F.size(p) > 0, p).otherwise(alone))
+
+    def made(v: Column) -> Column:
+        has_title = F.exists(v, lambda x: F.upper(x) == T.NOTES_TITLE)
+        notes = T.let(note_sections(v), lambda n: F.when(F.size(n) > 0, n).otherwise(plain(v)))
+        return F.when(F.size(v) == 0, F.array().cast(_SECTION)).when(has_title, notes).otherwise(plain(v))
+
+    return T.let(lines, made)
 
 
 def word_windows(words: Column, size: int, overlap: int) -> Column:

@@ -18,18 +18,17 @@ def classify_rows(rows: DataFrame) -> DataFrame:
     cleaned = rows.select(
         "workbook", "sheet_idx", "sheet", "row_idx", T.pad_id(T.repair_id(F.col("first"))).alias("first"), T.nn(F.col("second")).alias("second"), T.nn(F.col("third")).alias("third"), F.col("first").alias("_raw")
     )
-    first, second = F.col("first"), F.col("second")
-    text = T.row_text(first, second)
-    token = T.clause_token(text)
+    first, second, text, token = (F.col(c) for c in ("first", "second", "text", "_token"))
+    cleaned = cleaned.withColumn("text", T.row_text(first, second)).withColumn("_token", T.clause_token(text))
     role = (
         F.when(T.is_metadata_row(first), "skip").when(T.is_section_header(first, second), "section").when(T.is_requirement_id(first), "base")
         .when(T.is_note_row(text), "note").when(T.is_alpha(token), "alpha").when(T.is_roman(token), "roman").otherwise("text")
     )
     stem = F.regexp_replace(F.element_at(F.split("workbook", "/"), -1), r"\.[^.]*$", "")
     return cleaned.withColumns({
-        "text": text, "role": role, "token": F.lower(token), "body": T.clause_body(text), "splits": T.splits_alpha_list(F.col("_raw"), second),
+        "role": role, "token": F.lower(token), "body": T.clause_body(text), "splits": T.splits_alpha_list(F.col("_raw"), second),
         "section": F.regexp_replace(F.when(second != "", second).otherwise(first), "^[ :-]+|[ :-]+$", ""), "framework": T.framework_of(stem),
-    }).drop("_raw")
+    }).drop("_raw", "_token")
 
 
 class _Sheet:

@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the folder that the cluster shares (spark.checkpoint.dir; a temporary one only if that is unset).
+
+    For a result that several branches of a plan read and that is dear to compute."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillgrid-')}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def upsert(target: DataFrame, source: DataFrame, key: list[str]) -> DataFrame:
     """Rows of source in place of target's with the same key, and source's others added."""
     return target.join(source.select(*key).distinct(), key, "left_anti").unionByName(source, allowMissingColumns=True)

@@ -10,7 +10,7 @@ from ..functions import pii, scoring as S, text as T, verdict as V
 from ..operators import chunking as C, evidence as E, report as R, retrieval as M
 from ..operators.clauses import extract_items
 from ..operators.hints import with_hints
-from ..operators.store import last_wins, missing, upsert
+from ..operators.store import last_wins, materialize, missing, upsert
 from ..params import Params
 from ..sources.pages import pages_of_table
 
@@ -52,6 +52,7 @@ def compliance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = vectors.count()
     chunks = chunks.join(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.pmod("doc_id", F.lit(n)).alias("v")), "doc_id").join(vectors, "v")
     chunks = chunks.withColumns({"chunk_id": F.concat_ws("/", "doc_id", F.col("chunk_index").cast("string")), "vec": F.col("embedding")}).withColumns({"chunk_pos": F.col("chunk_id"), "doc_id": F.col("source")})
+    chunks = materialize(chunks.drop("v", "embedding"), "chunks")
     rules = keyword_rules(spark, sf_dir).withColumns({"v": F.pmod(F.col("item_key").cast("long"), F.lit(n)), "section_hints": F.array().cast("array<string>")}).join(vectors, "v").withColumnRenamed("embedding", "rule_vec")
     found = E.gather(M.match(rules, chunks, params)).withColumn("merged", E.merge_evidence(F.col("chunks"), params.evidence_chars))
     sim = F.col("merged.similarity")

@@ -11,12 +11,12 @@ Cost-based allocation: an empty segment, and one whose content more than HOT
 sets share, says little and costs much; its allocation is -1 (no pairs). A set
 whose skipped segments number at most k still meets every partner in another
 segment, and all that was skipped only lowers the number of common
-segments asked for. The few sets with more of them go to a second index of larger
-segments with allocation 1: each segment with its one-deletion neighbourhood
-finds differences of up to one, and half as many segments do. Small sets, and
-those with too many empty large segments, are indexed there by their first
-shingles (at most a quarter of a set is missing in a partner). Every candidate
-is verified on the texts. The hot segments of groups of near copies are first
+segments asked for. The few sets with more of them go to a second index by
+their rare shingles; those that consist of frequent ones are grouped by these, and of each group
+one set is indexed by larger segments with allocation 1: each segment with its one-deletion
+neighbourhood finds differences of up to one, and half as many segments do (small sets, and
+those with too many empty large segments, by their first shingles, as at most a quarter of
+a set is missing in a partner). Every candidate is verified on the texts. The hot segments of groups of near copies are first
 linked as stars, so that a group is one component before pairs are counted.
 """
 
@@ -328,6 +328,50 @@ def _slack_sql(n: str) -> str:
     return f"((45 * ({_limit_sql(n)} + 1) + 99) div 100 + 1)"
 
 
+def _shingle_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        sets = shingle_sets(batch.column("text"))
+        size = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, U)
+        yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *(pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in ("_uid", "comp"))], ["sig", "uid", "comp"])
+
+
+def _loose_pairs(texts: DataFrame, loose: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) in different components among sets that frequent segments dominate, and (_uid, lead) of their classes.
+
+    Shingles that up to HOT of these sets hold are cold. Two linked sets R and S with c(R) and c(S) cold shingles share at
+    least (c(R) + c(S) - H) / 2 of them; their common cold shingles are counted. If that bound is not
+    positive, hot shingles make up 2/3 of both at least. Such sets with equal hot parts form a class; a link that
+    rests on hot shingles alone holds with the class's smallest set too, so each set meets that one only,
+    and the smallest sets of the classes are indexed by large segments with their one-deletion neighbourhoods.
+    """
+    wanted = filter_by(texts, loose.select("_uid"), "left_semi").join(loose.select("_uid", "comp"), "_uid").select("_uid", "comp", "text")
+    index = scratch.table(wanted.mapInArrow(_shingle_pass, "sig long, uid long, comp long"), "shingles")
+    often = scratch.table(index.groupBy("sig").agg(F.count("*").alias("df"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("df > 1"), "often")
+    tagged = index.join(often.where(f"df > {HOT}").select("sig", F.lit(True).alias("hot")), "sig", "left")
+    facts = tagged.groupBy("uid", "comp").agg(
+        F.count("*").alias("n"), F.count_if(F.col("hot").isNull()).alias("cold"), F.bit_xor(F.when(F.col("hot"), F.xxhash64("sig"))).alias("h1"), F.sum(F.when(F.col("hot"), F.hash("sig").cast("long"))).alias("h2")
+    )
+    facts = scratch.table(facts, "parts")
+    cold = index.join(often.where(f"df <= {HOT} and c0 <> c1").select("sig"), "sig")
+    met = cold.toDF("sig", "a", "ca").join(cold.toDF("sig", "b", "cb"), "sig").where("a < b and ca <> cb").groupBy("a", "b").agg(F.count("*").alias("common"))
+    met = met.join(facts.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("cold").alias("ka")), "a").join(facts.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("cold").alias("kb")), "b")
+    met = met.where("3 * greatest(na, nb) <= 4 * least(na, nb) and 2 * common >= ka + kb - (na + nb) div 7").select("a", "b")
+
+    filled = facts.where("3 * cold <= n")
+    lead = filled.groupBy("h1", "h2").agg(F.min(F.struct("n", "uid", "comp")).alias("m"))
+    of_class = scratch.table(filled.join(lead, ["h1", "h2"]).select(F.col("uid").alias("_uid"), "n", "comp", F.col("m.uid").alias("lead"), F.col("m.n").alias("lead_n"), F.col("m.comp").alias("lead_comp")), "filled")
+    stars = of_class.where("comp <> lead_comp and 3 * n <= 4 * lead_n").select(F.least("_uid", "lead").alias("a"), F.greatest("_uid", "lead").alias("b"))
+    leads = filter_by(wanted, of_class.select(F.col("lead").alias("_uid")).distinct(), "left_semi")
+    upto = max(SMALL, loose.where("unsafe").agg(F.max("n")).first()[0] or 0) * 4 // 3
+    second = scratch.table(leads.mapInArrow(_second_pass(upto), "sig long, uid long, n long, comp long, whole boolean"), "second")
+    mixed = second.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("whole").alias("w")).where("c0 <> c1 and w").select("sig")
+    second = scratch.table(second.join(mixed, "sig", "left_semi"), "mixed")
+    side = lambda x: second.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("uid", "n", "comp", "whole")))
+    leads = side("a").join(side("b"), "sig").where("uid_a < uid_b and comp_a <> comp_b and (whole_a or whole_b) and 3 * greatest(n_a, n_b) <= 4 * least(n_a, n_b)").select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b"))
+    return met.unionByName(stars).unionByName(leads.distinct()), of_class.select("_uid", "lead")
+
+
 def similar_sets(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs (with ``_uid``) -> (_uid, n_shingles, root): rows with one root are joined by links; root is the least _uid.
 
@@ -372,17 +416,18 @@ def similar_sets(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     hot = stars.join(scratch.table(apart, "apart"), "hot", "left_semi").groupBy("_uid").agg(F.count("*").alias("hot"))
     loose = scratch.table(comp.join(hot, "_uid", "left").where(f"coalesce(hot, 0) + empty_most >= {_slack_sql('((3 * n + 3) div 4)')} + 1"), "loose")
     if loose.take(1):
-        prefix_upto = max(SMALL, loose.where("unsafe").agg(F.max("n")).first()[0] or 0) * 4 // 3
-        wanted = filter_by(texts, loose.select("_uid"), "left_semi").join(loose.select("_uid", "comp"), "_uid")
-        index = scratch.table(wanted.select("_uid", "comp", "text").mapInArrow(_second_pass(prefix_upto), "sig long, uid long, n long, comp long, whole boolean"), "second")
-        mixed = index.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("whole").alias("any_whole")).where("c0 <> c1 and any_whole").select("sig")
-        index = scratch.table(index.join(mixed, "sig", "left_semi"), "mixed")
-        a, b = index.select("sig", *(F.col(c).alias(f"{c}_a") for c in ("uid", "n", "comp", "whole"))), index.select("sig", *(F.col(c).alias(f"{c}_b") for c in ("uid", "n", "comp", "whole")))
-        met = a.join(b, "sig").where("comp_a < comp_b and (whole_a or whole_b) and 3 * greatest(n_a, n_b) <= 4 * least(n_a, n_b)").select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b"))
+        met, classes_of = _loose_pairs(texts, loose, scratch)
         left = left.unionByName(met)
     left = scratch.table(left.distinct(), "left")
     if left.take(1):
         more = verified(left, texts, scratch)
+        if loose.take(1):
+            # linked representatives: members of either class may link with the other's
+            both = more.unionByName(more.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            wide = both.join(classes_of.select("_uid", F.col("lead").alias("a")), "a").where("_uid <> a").select(F.least("_uid", "b").alias("a"), F.greatest("_uid", "b").alias("b"))
+            wide = scratch.table(wide.distinct(), "members")
+            if wide.take(1):
+                more = more.unionByName(verified(wide, texts, scratch))
         roots = components(roots.select(F.col("_uid").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
     roots = scratch.table(roots, "roots")
     full = sets.select("_uid", "n").join(known, "_uid", "left").withColumn("rep", F.coalesce("rep", "_uid"))

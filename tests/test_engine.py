@@ -195,3 +195,14 @@ def test_parameters():
     assert (p.top_k, p.candidate_k, p.keyword_prefilter, p.review_threshold, p.row_explanation_chars) == (1, 1, False, 0.99, 256)
     with pytest.raises(ValueError):
         Params(window_words=10, overlap_words=10)
+
+
+def test_pages_that_arrive(spark, tmp_path):
+    from quillgrid.streaming.pages import analyze_stream
+
+    e = Engine(spark, f"file://{tmp_path}/engine")
+    e.sync_checklists(spark.createDataFrame([("/x/frs102_dc.xlsx", bytearray(workbook(RULES)))], "path string, content binary"))
+    pages = spark.createDataFrame([("d7", 1, "Staff\nThe average number of employees in the period was 4, and they did well, all in all.")], "doc_id string, page_number int, text string")
+    pages.write.parquet(f"file://{tmp_path}/in")
+    analyze_stream(spark, f"file://{tmp_path}/in", e, "frs102", f"file://{tmp_path}/checkpoint").awaitTermination()
+    assert {r["doc_id"] for r in e.store.read("analysis_results").collect()} == {"d7"}

@@ -274,9 +274,9 @@ def _bucket_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _second_pass(prefix_upto: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(sig, uid, n, comp, whole): large segments with one deletion, or first shingles."""
+        """(sig, uid, n, low, high, whole): large segments with one deletion, or first shingles."""
         for batch in slices(batches):
-            for uid, comp, s in zip(batch.column("_uid").to_pylist(), batch.column("comp").to_pylist(), shingle_sets(batch.column("text"))):
+            for uid, low, high, s in zip(*(batch.column(c).to_pylist() for c in ("_uid", "low", "high")), shingle_sets(batch.column("text"))):
                 n, sig, whole = len(s), [], []
                 if limit(n) == 0:
                     continue
@@ -295,7 +295,7 @@ def _second_pass(prefix_upto: int):
                     whole.append(np.ones(len(sig[-1]), bool))
                 sig, whole = np.concatenate(sig), np.concatenate(whole)
                 k = len(sig)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.full(k, uid, np.int64)), pa.array(np.full(k, n, np.int64)), pa.array(np.full(k, comp, np.int64)), pa.array(whole)], ["sig", "uid", "n", "comp", "whole"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.full(k, uid, np.int64)), *(pa.array(np.full(k, x, np.int64)) for x in (n, low, high)), pa.array(whole)], ["sig", "uid", "n", "low", "high", "whole"])
 
     return work
 
@@ -337,13 +337,15 @@ def _shingle_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _loose_pairs(texts: DataFrame, loose: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) in different components among sets that frequent segments dominate, and (_uid, lead) of their classes.
+    """Pairs (a, b) that may join components among sets that frequent segments dominate, and (_uid, n, comp, lead) of their classes.
 
     Shingles that up to HOT of these sets hold are cold. Two linked sets R and S with c(R) and c(S) cold shingles share at
     least (c(R) + c(S) - H) / 2 of them; their common cold shingles are counted. If that bound is not
     positive, hot shingles make up 2/3 of both at least. Such sets with equal hot parts form a class; a link that
     rests on hot shingles alone holds with the class's smallest set too, so each set meets that one only,
     and the smallest sets of the classes are indexed by large segments with their one-deletion neighbourhoods.
+    Two of these are paired, in one component or not, unless all members of both classes lie in one: linked ones
+    show which classes' members must meet the other's smallest set.
     """
     wanted = filter_by(texts, loose.select("_uid"), "left_semi").join(loose.select("_uid", "comp"), "_uid").select("_uid", "comp", "text")
     index = scratch.table(wanted.mapInArrow(_shingle_pass, "sig long, uid long, comp long"), "shingles")
@@ -361,15 +363,18 @@ def _loose_pairs(texts: DataFrame, loose: DataFrame, scratch: Scratch) -> tuple[
     filled = facts.where("3 * cold <= n")
     lead = filled.groupBy("h1", "h2").agg(F.min(F.struct("n", "uid", "comp")).alias("m"))
     of_class = scratch.table(filled.join(lead, ["h1", "h2"]).select(F.col("uid").alias("_uid"), "n", "comp", F.col("m.uid").alias("lead"), F.col("m.n").alias("lead_n"), F.col("m.comp").alias("lead_comp")), "filled")
+    spans = of_class.groupBy("lead").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).withColumnRenamed("lead", "uid")
     stars = of_class.where("comp <> lead_comp and 3 * n <= 4 * lead_n").select(F.least("_uid", "lead").alias("a"), F.greatest("_uid", "lead").alias("b"))
     leads = filter_by(wanted, of_class.select(F.col("lead").alias("_uid")).distinct(), "left_semi")
     upto = max(SMALL, loose.where("unsafe").agg(F.max("n")).first()[0] or 0) * 4 // 3
-    second = scratch.table(leads.mapInArrow(_second_pass(upto), "sig long, uid long, n long, comp long, whole boolean"), "second")
-    mixed = second.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("whole").alias("w")).where("c0 <> c1 and w").select("sig")
+    leads = leads.join(spans.withColumnRenamed("uid", "_uid"), "_uid")
+    second = scratch.table(leads.mapInArrow(_second_pass(upto), "sig long, uid long, n long, low long, high long, whole boolean"), "second")
+    mixed = second.groupBy("sig").agg(F.min("low").alias("c0"), F.max("high").alias("c1"), F.max("whole").alias("w"), F.min("uid").alias("u0"), F.max("uid").alias("u1")).where("c0 <> c1 and w and u0 <> u1").select("sig")
     second = scratch.table(second.join(mixed, "sig", "left_semi"), "mixed")
-    side = lambda x: second.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("uid", "n", "comp", "whole")))
-    leads = side("a").join(side("b"), "sig").where("uid_a < uid_b and comp_a <> comp_b and (whole_a or whole_b) and 3 * greatest(n_a, n_b) <= 4 * least(n_a, n_b)").select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b"))
-    return met.unionByName(stars).unionByName(leads.distinct()), of_class.select("_uid", "lead")
+    side = lambda x: second.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("uid", "n", "low", "high", "whole")))
+    apart = "least(low_a, low_b) <> greatest(high_a, high_b)"
+    leads = side("a").join(side("b"), "sig").where(f"uid_a < uid_b and {apart} and (whole_a or whole_b) and 3 * greatest(n_a, n_b) <= 4 * least(n_a, n_b)").select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b"))
+    return met.unionByName(stars).unionByName(leads.distinct()), of_class.select("_uid", "n", "comp", "lead")
 
 
 def similar_sets(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -424,7 +429,9 @@ def similar_sets(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
         if loose.take(1):
             # linked representatives: members of either class may link with the other's
             both = more.unionByName(more.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            wide = both.join(classes_of.select("_uid", F.col("lead").alias("a")), "a").where("_uid <> a").select(F.least("_uid", "b").alias("a"), F.greatest("_uid", "b").alias("b"))
+            wide = both.join(classes_of.select("_uid", "n", "comp", F.col("lead").alias("a")), "a").where("_uid <> a and _uid <> b")
+            wide = wide.join(comp.select(F.col("_uid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")), "b").where("comp <> cb and 3 * greatest(n, nb) <= 4 * least(n, nb)")
+            wide = wide.select(F.least("_uid", "b").alias("a"), F.greatest("_uid", "b").alias("b"))
             wide = scratch.table(wide.distinct(), "members")
             if wide.take(1):
                 more = more.unionByName(verified(wide, texts, scratch))

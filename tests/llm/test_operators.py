@@ -129,6 +129,19 @@ def test_jaccard(spark, monkeypatch, hot):
     assert got == brute_components(texts)
 
 
+@pytest.mark.parametrize("least", [False, True])
+def test_jaccard_members_meet_the_linked_lead_of_another_class(spark, least):
+    rng = random.Random(4)
+    words = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    shared = words(64)
+    family = [" ".join(shared + words(18)) for _ in range(4 * jaccard.HOT)]
+    texts = [" ".join(shared[1:]), *family] if least else [*family, " ".join(shared[1:])]
+    want = brute_components(texts)
+    assert len({root for _, root in want.values()}) == 1 and len({root for _, root in brute_components(family).values()}) == len(family)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_groups(make(spark, texts), Scratch(spark, "t")).collect()}
+    assert got == want
+
+
 def test_substring(spark):
     texts = corpus()
     words = [(t or "").encode().split() for t in texts]

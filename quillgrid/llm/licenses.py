@@ -73,8 +73,11 @@ OTHER = [
 TOKEN = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 #: A paragraph or window with none of these has no licence.
 ANCHOR = r"(?i)licen[sc]e|copyright|all rights|public domain|permission|redistribut|creative commons|cc0|proprietary|unauthorized copying"
-#: Tokens of a window, and tokens from one window to the next.
+#: Blank lines end a paragraph.
+BREAK = r"\n\s*\n"
+#: Tokens of a window, and tokens from one window to the next; and tokens of the windows, overlapping by half too, that tell short notices apart.
 WINDOW, STEP = 48, 24
+NARROW = (16, 8)
 COPIES, ROUNDS, RATE, RIDGE = 60, 400, 0.5, 2e-4
 #: Least probability, and least share of a template's tokens found, for a family to be reported.
 LEAST_SCORE, LEAST_MATCH = 0.5, 0.6
@@ -139,22 +142,30 @@ def _values(spark: SparkSession, rows: list[str], names: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({names})")
 
 
+def _windows(width: int, step: int) -> str:
+    return f"transform(sequence(0, greatest(0, (size(s.t) - {width} + {step} - 1) div {step})), i -> slice(s.t, i * {step} + 1, {width}))"
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, line, window, family, score, matched, confirmed) of each window of a line that a family is found in.
+    """(_id, _row, paragraph, line, window, family, score, matched, confirmed) of each window that a family is found in.
 
-    Each line of each text is looked at; long ones in windows that overlap by half.
+    Each paragraph is looked at as a whole, its line breaks taken as spaces (line is -1), and each of its lines by itself,
+    so that a notice is found wrapped over lines or among other lines; in windows of several sizes that overlap by half.
     Tables of the model are of fixed size and broadcast; all sums are pre-aggregated.
     """
     spark = docs.sparkSession
     classes, vocabulary, w, heat = trained()
-    lines = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.split(F.coalesce(text_col, F.lit("")), "\n").alias("lines"))
-    lines = lines.select("_id", "_row", F.explode(F.expr(f"filter(transform(lines, (x, i) -> struct(i AS line, x AS words)), s -> s.words rlike '{ANCHOR}')")).alias("s")).select("_id", "_row", "s.line", "s.words")
-    tokens = lines.withColumn("t", F.expr(f"regexp_extract_all(lower(words), r'{TOKEN}', 0)")).where("size(t) > 0")
-    windows = tokens.select("_id", "_row", "line", F.posexplode(F.expr(f"transform(sequence(0, greatest(0, (size(t) - {WINDOW} + {STEP} - 1) div {STEP})), i -> slice(t, i * {STEP} + 1, {WINDOW}))")).alias("window", "t"))
-    windows = windows.where(F.expr(f"array_join(t, ' ') rlike '{ANCHOR}'"))
+    has_anchor = lambda t: f"array_join({t}, ' ') rlike '{ANCHOR}'"
+    paragraphs = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), BREAK)).alias("paragraph", "words"))
+    # the tokens of the lines, bound once; the paragraph's are theirs in a row
+    lines = f"transform(split(words, '\n'), x -> regexp_extract_all(lower(x), r'{TOKEN}', 0))"
+    parts = "concat(transform(l, (t, i) -> struct(i AS line, t AS t)), if(size(l) > 1, array(struct(-1 AS line, flatten(l) AS t)), array()))"
+    parts = paragraphs.select("_id", "_row", "paragraph", F.explode(F.expr(f"flatten(transform(array({lines}), l -> if({has_anchor('flatten(l)')}, filter({parts}, s -> {has_anchor('s.t')}), array())))")).alias("s"))
+    windows = parts.select("_id", "_row", "paragraph", "s.line", F.posexplode(F.expr(f"concat({', '.join([_windows(WINDOW, STEP), *(f'if(size(s.t) > {k}, {_windows(k, k // 2)}, array())' for k in NARROW)])})")).alias("window", "t"))
+    windows = windows.where(F.expr(has_anchor("t")))
     n = len(classes)
     weights = _values(spark, [f"('{g}', {', '.join(f'{x:.6f}D' for x in row)})" for g, row in zip(vocabulary, w[2:])], "gram, " + ", ".join(f"w{k}" for k in range(n)))
-    key = ["_id", "_row", "line", "window"]
+    key = ["_id", "_row", "paragraph", "line", "window"]
     gram = windows.select(*key, "t", F.explode(F.expr("array_distinct(concat(t, transform(sequence(1, size(t)), i -> if(i < size(t), t[i - 1] || ' ' || t[i], t[i - 1]))))")).alias("gram"))
     hits = gram.join(F.broadcast(weights), "gram", "left").groupBy(*key).agg(
         F.first("t").alias("t"), F.collect_set(F.when(F.col("w0").isNotNull() & ~F.contains("gram", F.lit(" ")), F.col("gram"))).alias("known"), *(F.sum(f"w{k}").alias(f"s{k}") for k in range(n))
@@ -168,16 +179,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     templates = _values(spark, [f"('{f}', array({', '.join(repr(t) for t in dict.fromkeys(re.findall(TOKEN, x)))}))" for f, xs in NOTICES.items() for x in xs], "family, template")
     templates = templates.groupBy("family").agg(F.collect_list("template").alias("templates"))
     matched = scored.join(F.broadcast(templates), "family").withColumn("matched", F.expr("array_max(transform(templates, x -> size(array_intersect(x, t)) / size(x)))"))
-    return matched.select("_id", "_row", "line", "window", "family", "score", "matched", (F.col("matched") >= LEAST_MATCH).alias("confirmed"))
+    return matched.select("_id", "_row", "paragraph", "line", "window", "family", "score", "matched", (F.col("matched") >= LEAST_MATCH).alias("confirmed"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_licences, families (sorted, joined by a comma), best_score for each distinct id of docs.
 
-    Only families that a template confirms count. A null or empty text has none. An empty
+    Only families that a template confirms count: once for each line that states one, and once for a paragraph
+    that does so only over several lines. A null or empty text has none. An empty
     table gives an empty table; of rows with one id the findings are joined; other columns are not read.
     """
-    found = scan(docs, id_col, text_col).where("confirmed").groupBy("_id", "_row", "line", "family").agg(F.max("score").alias("score"))
-    each = found.groupBy("_id").agg(F.count("*").alias("n_licences"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.max("score").alias("best_score"))
+    found = scan(docs, id_col, text_col).where("confirmed").groupBy("_id", "_row", "paragraph", "line", "family").agg(F.max("score").alias("score"))
+    found = found.groupBy("_id", "_row", "paragraph", "family").agg(F.greatest(F.count_if(F.col("line") >= 0), F.lit(1)).alias("n"), F.max("score").alias("score"))
+    each = found.groupBy("_id").agg(F.sum("n").alias("n_licences"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.max("score").alias("best_score"))
     ids = docs.select(F.col(id_col)).distinct()
     return ids.join(each, ids[id_col].eqNullSafe(each["_id"]), "left").select(id_col, F.coalesce("n_licences", F.lit(0)).alias("n_licences"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))

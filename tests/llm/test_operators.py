@@ -183,6 +183,26 @@ def test_licences(spark):
     assert got == {0: "MIT", 1: "Apache-2.0", 2: "", 3: "", 4: "", 5: "", 6: "GPL-3.0"}
 
 
+MIT_TEXT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+
+
+def test_licences_wrapped_over_lines(spark):
+    texts = [
+        MIT_TEXT, MIT_TEXT.replace("\n", "\r\n"), "it rained all day and\nthe report is released\nunder the\nmit\nlicense\nas the office said", "Permission\n\nis hereby granted free of charge\n\nto any person obtaining",
+        "Licensed under the\nApache License,\nVersion 2.0.\nReleased under\nthe MIT License.", "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.\nReleased under the MIT License.",
+    ]
+    got = {r["doc_id"]: (r["families"], r["n_licences"]) for r in licenses.license_scan(make(spark, texts)).collect()}
+    assert got == {0: ("MIT", 1), 1: ("MIT", 1), 2: ("MIT", 1), 3: ("", 0), 4: ("Apache-2.0,MIT", 2), 5: ("Apache-2.0,MIT", 3)}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

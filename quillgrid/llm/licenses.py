@@ -71,11 +71,11 @@ OTHER = [
     "this file is part of the project", "all rights come with duties", "the public license office is open on monday", "creative people share common ground", "they distribute books without a fee", "version 2.0 and version 3 differ in many ways",
 ]
 TOKEN = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
-#: A paragraph or window with none of these has no licence.
-ANCHOR = r"(?i)licen[sc]e|copyright|all rights|public domain|permission|redistribut|creative commons|cc0|proprietary|unauthorized copying"
+#: Words that say little, the last to be made anchors.
+COMMON = "a all and any by for in is it may no not of or that the this to use with you work under part terms file free".split()
 #: Blank lines end a paragraph.
 BREAK = r"\n\s*\n"
-#: Tokens of a window, and tokens from one window to the next; and tokens of the windows, overlapping by half too, that tell short notices apart.
+#: Tokens of a window, and tokens from one window to the next; and tokens of the windows that tell short notices apart: these may cut longer ones, so they count only with a whole template.
 WINDOW, STEP = 48, 24
 NARROW = (16, 8)
 COPIES, ROUNDS, RATE, RIDGE = 60, 400, 0.5, 2e-4
@@ -87,6 +87,21 @@ def grams(tokens: list[str]) -> list[str]:
     return list(dict.fromkeys(tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])]))
 
 
+@lru_cache(1)
+def anchors() -> list[str]:
+    """Tokens of which each window that a template can confirm has one.
+
+    Of a template's k tokens a confirmed window has at least m, so it has one of any k - m + 1; the
+    longest ones are taken, common words last. A window without anchors is not confirmed by any template.
+    """
+    out = set()
+    for template in {frozenset(re.findall(TOKEN, x)) for notices in NOTICES.values() for x in notices}:
+        k = len(template)
+        m = next(m for m in range(k + 1) if m / k >= LEAST_MATCH)
+        out.update(sorted(template, key=lambda t: (t in COMMON, -len(t), t))[: k - m + 1])
+    return sorted(out)
+
+
 @lru_cache(1)
 def trained(seed: int = 11) -> tuple[list[str], list[str], np.ndarray, float]:
     """classes, vocabulary, weights (bias first, then the share of tokens beyond the vocabulary, then the n-grams), temperature."""
@@ -142,33 +157,42 @@ def _values(spark: SparkSession, rows: list[str], names: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({names})")
 
 
-def _windows(width: int, step: int) -> str:
-    return f"transform(sequence(0, greatest(0, (size(s.t) - {width} + {step} - 1) div {step})), i -> slice(s.t, i * {step} + 1, {width}))"
+def _windows(width: int, step: int, least: float) -> str:
+    return f"transform(sequence(0, greatest(0, (size(s.t) - {width} + {step} - 1) div {step})), i -> struct({least}D AS least, slice(s.t, i * {step} + 1, {width}) AS t))"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _row, paragraph, line, window, family, score, matched, confirmed) of each window that a family is found in.
+    """(_id, _row, paragraph, line, window, family, score, matched, confirmed, others) of each window that a template could confirm and a family is found in.
 
     Each paragraph is looked at as a whole, its line breaks taken as spaces (line is -1), and each of its lines by itself,
     so that a notice is found wrapped over lines or among other lines; in windows of several sizes that overlap by half.
+    A window may cut a notice: others are the families whose templates it matches as well.
     Tables of the model are of fixed size and broadcast; all sums are pre-aggregated.
     """
     spark = docs.sparkSession
     classes, vocabulary, w, heat = trained()
-    has_anchor = lambda t: f"array_join({t}, ' ') rlike '{ANCHOR}'"
+    any_of = ", ".join(f"'{x}'" for x in anchors())
+    has_anchor = lambda t: f"exists({t}, x -> x IN ({any_of}))"
     paragraphs = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), BREAK)).alias("paragraph", "words"))
     # the tokens of the lines, bound once; the paragraph's are theirs in a row
     lines = f"transform(split(words, '\n'), x -> regexp_extract_all(lower(x), r'{TOKEN}', 0))"
     parts = "concat(transform(l, (t, i) -> struct(i AS line, t AS t)), if(size(l) > 1, array(struct(-1 AS line, flatten(l) AS t)), array()))"
-    parts = paragraphs.select("_id", "_row", "paragraph", F.explode(F.expr(f"flatten(transform(array({lines}), l -> if({has_anchor('flatten(l)')}, filter({parts}, s -> {has_anchor('s.t')}), array())))")).alias("s"))
-    windows = parts.select("_id", "_row", "paragraph", "s.line", F.posexplode(F.expr(f"concat({', '.join([_windows(WINDOW, STEP), *(f'if(size(s.t) > {k}, {_windows(k, k // 2)}, array())' for k in NARROW)])})")).alias("window", "t"))
-    windows = windows.where(F.expr(has_anchor("t")))
+    parts = paragraphs.select("_id", "_row", "paragraph", F.explode(F.expr(f"flatten(transform(array({lines}), l -> if(exists(l, t -> {has_anchor('t')}), filter({parts}, s -> {has_anchor('s.t')}), array())))")).alias("s"))
+    windows = parts.select("_id", "_row", "paragraph", "s.line", F.posexplode(F.expr(f"concat({', '.join([_windows(WINDOW, STEP, LEAST_MATCH), *(f'if(size(s.t) > {k}, {_windows(k, k // 4, 1)}, array())' for k in NARROW)])})")).alias("window", "v"))
+    windows = windows.where(F.expr(has_anchor("v.t"))).select("_id", "_row", "paragraph", "line", "window", "v.least", "v.t")
+    # shares of the templates in each window; what none of them can confirm goes no further
+    quoted = lambda x: "array(" + ", ".join(repr(t) for t in dict.fromkeys(re.findall(TOKEN, x))) + ")"
+    known = ", ".join(f"struct('{f}' AS family, array({', '.join(map(quoted, xs))}) AS templates)" for f, xs in NOTICES.items())
+    words = ", ".join(f"'{t}'" for t in sorted({t for xs in NOTICES.values() for x in xs for t in re.findall(TOKEN, x)}))
+    shares = f"transform(array({known}), f -> struct(f.family AS family, array_max(transform(f.templates, x -> size(array_intersect(x, h)) / size(x))) AS share))"
+    shares = f"filter(transform(array(array_distinct(filter(t, x -> x IN ({words})))), h -> {shares}), m -> exists(m, f -> f.share >= least))"
+    windows = windows.select("*", F.explode(F.expr(shares)).alias("m"))
     n = len(classes)
     weights = _values(spark, [f"('{g}', {', '.join(f'{x:.6f}D' for x in row)})" for g, row in zip(vocabulary, w[2:])], "gram, " + ", ".join(f"w{k}" for k in range(n)))
     key = ["_id", "_row", "paragraph", "line", "window"]
-    gram = windows.select(*key, "t", F.explode(F.expr("array_distinct(concat(t, transform(sequence(1, size(t)), i -> if(i < size(t), t[i - 1] || ' ' || t[i], t[i - 1]))))")).alias("gram"))
+    gram = windows.select(*key, "least", "m", "t", F.explode(F.expr("array_distinct(concat(t, transform(sequence(1, size(t)), i -> if(i < size(t), t[i - 1] || ' ' || t[i], t[i - 1]))))")).alias("gram"))
     hits = gram.join(F.broadcast(weights), "gram", "left").groupBy(*key).agg(
-        F.first("t").alias("t"), F.collect_set(F.when(F.col("w0").isNotNull() & ~F.contains("gram", F.lit(" ")), F.col("gram"))).alias("known"), *(F.sum(f"w{k}").alias(f"s{k}") for k in range(n))
+        F.first("least").alias("least"), F.first("m").alias("m"), F.first("t").alias("t"), F.collect_set(F.when(F.col("w0").isNotNull() & ~F.contains("gram", F.lit(" ")), F.col("gram"))).alias("known"), *(F.sum(f"w{k}").alias(f"s{k}") for k in range(n))
     )
     beyond = "(size(filter(t, x -> not array_contains(known, x))) / size(t))"
     z = [f"((coalesce(s{k}, 0D) + {w[0, k]:.6f}D + {w[1, k]:.6f}D * {beyond}) / {heat}D)" for k in range(n)]
@@ -176,10 +200,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     scored = scored.withColumn("score", F.expr("1D / aggregate(z, 0D, (a, x) -> a + exp(x - best))"))
     names = ", ".join(f"'{c}'" for c in classes)
     scored = scored.withColumn("family", F.expr(f"element_at(array({names}), cast(array_position(z, best) AS int))")).where(f"family <> '{UNKNOWN}' and score >= {LEAST_SCORE}")
-    templates = _values(spark, [f"('{f}', array({', '.join(repr(t) for t in dict.fromkeys(re.findall(TOKEN, x)))}))" for f, xs in NOTICES.items() for x in xs], "family, template")
-    templates = templates.groupBy("family").agg(F.collect_list("template").alias("templates"))
-    matched = scored.join(F.broadcast(templates), "family").withColumn("matched", F.expr("array_max(transform(templates, x -> size(array_intersect(x, t)) / size(x)))"))
-    return matched.select("_id", "_row", "paragraph", "line", "window", "family", "score", "matched", (F.col("matched") >= LEAST_MATCH).alias("confirmed"))
+    matched = scored.withColumn("matched", F.expr("aggregate(m, 0D, (a, f) -> if(f.family = family, f.share, a))"))
+    matched = matched.withColumn("others", F.expr("transform(filter(m, f -> f.family <> family and f.share >= matched), f -> f.family)"))
+    return matched.select("_id", "_row", "paragraph", "line", "window", "family", "score", "matched", (F.col("matched") >= F.col("least")).alias("confirmed"), "others")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,7 +212,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that does so only over several lines. A null or empty text has none. An empty
     table gives an empty table; of rows with one id the findings are joined; other columns are not read.
     """
-    found = scan(docs, id_col, text_col).where("confirmed").groupBy("_id", "_row", "paragraph", "line", "family").agg(F.max("score").alias("score"))
+    found = scan(docs, id_col, text_col).where("confirmed").groupBy("_id", "_row", "paragraph", "line", "family", "matched", "others").agg(F.max("score").alias("score"))
+    # a part of a notice that another window of the paragraph shows to be of another family
+    found = found.groupBy("_id", "_row", "paragraph").agg(F.collect_list(F.struct("line", "family", "matched", "others", "score")).alias("found"), F.collect_set(F.struct("family", "matched")).alias("best"))
+    found = found.select("_id", "_row", "paragraph", F.inline(F.expr("filter(found, r -> not exists(best, b -> b.matched > r.matched and array_contains(r.others, b.family)))")))
+    found = found.groupBy("_id", "_row", "paragraph", "line", "family").agg(F.max("score").alias("score"))
     found = found.groupBy("_id", "_row", "paragraph", "family").agg(F.greatest(F.count_if(F.col("line") >= 0), F.lit(1)).alias("n"), F.max("score").alias("score"))
     each = found.groupBy("_id").agg(F.sum("n").alias("n_licences"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.max("score").alias("best_score"))
     ids = docs.select(F.col(id_col)).distinct()

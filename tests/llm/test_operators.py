@@ -198,9 +198,23 @@ def test_licences_wrapped_over_lines(spark):
     texts = [
         MIT_TEXT, MIT_TEXT.replace("\n", "\r\n"), "it rained all day and\nthe report is released\nunder the\nmit\nlicense\nas the office said", "Permission\n\nis hereby granted free of charge\n\nto any person obtaining",
         "Licensed under the\nApache License,\nVersion 2.0.\nReleased under\nthe MIT License.", "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.\nReleased under the MIT License.",
+        "This work is licensed under the GNU General Public\nLicense, version 2.",
     ]
     got = {r["doc_id"]: (r["families"], r["n_licences"]) for r in licenses.license_scan(make(spark, texts)).collect()}
-    assert got == {0: ("MIT", 1), 1: ("MIT", 1), 2: ("MIT", 1), 3: ("", 0), 4: ("Apache-2.0,MIT", 2), 5: ("Apache-2.0,MIT", 3)}
+    assert got == {0: ("MIT", 1), 1: ("MIT", 1), 2: ("MIT", 1), 3: ("", 0), 4: ("Apache-2.0,MIT", 2), 5: ("Apache-2.0,MIT", 3), 6: ("GPL-2.0", 1)}
+
+
+def test_each_notice_is_reported(spark):
+    want = [(family, notice) for family, notices in licenses.NOTICES.items() for notice in notices] + [("CC-BY-SA", "Available under CC BY-SA 4.0")]
+    got = {r["doc_id"]: r["families"] for r in licenses.license_scan(make(spark, [notice for _, notice in want])).collect()}
+    assert [(got[i], notice) for i, (_, notice) in enumerate(want)] == want
+
+
+def test_windows_without_anchors_are_confirmed_by_no_template():
+    held = set(licenses.anchors())
+    for notice in (x for notices in licenses.NOTICES.values() for x in notices):
+        tokens = set(licenses.re.findall(licenses.TOKEN, notice))
+        assert len(tokens - held) / len(tokens) < licenses.LEAST_MATCH
 
 
 def test_pipeline_stages(spark, tmp_path):

@@ -16,8 +16,8 @@ from .units import BYTE_UNITS, encoder
 
 #: A shard ends with the document that brings it to so many ids.
 SHARD_IDS = 1 << 20
-#: Rounds of pair replacement, pairs named in a round, and the least count of a named pair.
-ROUNDS, PAIRS, LEAST = 3, 2048, 8
+#: Pairs named in a round, and the least count of a named pair.
+PAIRS, LEAST = 2048, 8
 #: Shard format, version 1, little-endian: magic, version, count of terminals, rules, documents,
 #: symbols, ids (6 x u32); rules (left, right: u32 each); expansion length of each rule (u32);
 #: first symbol of each document and the end (u32 each); ids of each document (u32 each); symbols (u16 or,
@@ -31,7 +31,8 @@ def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int) -> bytes:
 
     Each round counts all adjacent pairs within documents, gives the most frequent
     ones nonterminals, and replaces those occurrences that no better pair overlaps
-    (of a run of one pair, the first). No pair crosses documents, so every
+    (of a run of one pair, every other one). Rounds go on until no pair has the least
+    count or the symbols are used up. No pair crosses documents, so every
     document starts at a symbol.
     """
     seq = ids.astype(np.uint32)
@@ -41,9 +42,7 @@ def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int) -> bytes:
     left, right, size = [], [], [np.ones(terminals, np.int64)]
     n = terminals
     narrow = terminals < 1 << 16
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) >= 2:
         key = ((seq[:-1] << np.uint32(16)) | seq[1:]) if narrow else ((seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:])
         inner = ~first[1:]
         sorted_ = np.sort(key[inner])
@@ -70,8 +69,16 @@ def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int) -> bytes:
         rank = np.full(len(key) + 2, 1 << 30, np.int32)  # with a border on both sides
         rank[maybe[ok] + 1] = order[slot[ok]]
         own = maybe[ok] + 1
+        begins = np.ones(len(own), bool)
+        begins[1:] = (np.diff(own) > 1) | (np.diff(rank[own]) != 0)
+        run = np.flatnonzero(begins)
+        odd = (np.arange(len(own)) - np.repeat(run, np.diff(np.append(run, len(own))))) % 2 == 1
+        rank[own[odd]] = 1 << 30
+        own = own[~odd]
         best = own[(rank[own] < rank[own - 1]) & (rank[own] <= rank[own + 1])] - 1
         named = rank[best + 1].astype(np.int64)
+        used = np.bincount(named, minlength=len(pairs)) > 0  # a pair that better ones overlap everywhere gets no symbol
+        pairs, named = pairs[used], (np.cumsum(used) - 1)[named]
         l, r = (pairs >> pairs.dtype.type(16 if narrow else 32)).astype(np.int64), (pairs & pairs.dtype.type(0xFFFF if narrow else 0xFFFFFFFF)).astype(np.int64)
         lengths = np.concatenate(size)
         left.append(l)

@@ -71,6 +71,16 @@ def test_grammar_round_trip(terminals):
         assert (shard.document(i) == ids[bounds[i] : bounds[i + 1]]).all()
 
 
+@pytest.mark.parametrize("terminals", [50257, 70000])
+def test_grammar_goes_on_until_no_pair_is_frequent(terminals):
+    rng = np.random.default_rng(3)
+    ids = np.concatenate((np.tile(rng.integers(0, 5000, 64), 100), np.full(1000, 7), rng.integers(0, 10, 500))).astype(np.uint32)
+    shard = grammar.Shard(grammar.compress(ids, np.array([0, 6400, len(ids)]), terminals))
+    assert (shard.decode(0, 2) == ids).all()
+    pairs = Counter(p for a, b in zip(shard.starts[:-1], shard.starts[1:]) for p in zip(shard.symbols[a : b - 1].tolist(), shard.symbols[a + 1 : b].tolist()))
+    assert max(pairs.values()) < grammar.LEAST and shard.starts[1] < 20
+
+
 def test_words_and_windows():
     texts = some_texts(60, 5)
     w = Words(*text_bytes(pa.array(texts)))

@@ -1,6 +1,7 @@
-"""Removal of repeated passages by relative Lempel-Ziv factors.
+"""Removal of repeated passages by hashes of content-defined phrases.
 
-Every document is parsed against all others (and itself) at once. The reference
+This stands in place of a greedy relative Lempel-Ziv parse against reference blocks;
+"factor" below is a run of phrases met elsewhere. Every document is parsed against all others (and itself) at once. The reference
 index holds phrases: the word windows of one document that agree on their least
 16-word seed form a phrase, so equal passages are cut into equal phrases
 wherever they stand. A phrase that the index holds elsewhere continues a factor;

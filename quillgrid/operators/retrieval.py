@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scoring as S, text as T
@@ -10,14 +16,16 @@ from ..params import Params
 
 def scoped(rules: DataFrame, chunks: DataFrame, params: Params) -> DataFrame:
     """Rules joined to the chunks of their documents: by type_key if both have it. Rules are broadcast
-    if they are counted to be few, else dealt out by the key."""
-    few = rules.limit(params.broadcast_rules + 1).count() <= params.broadcast_rules
-    side = F.broadcast(rules) if few else rules
+    if they are counted to be few; else dealt out by the key, or without one in blocks of about ``broadcast_rules`` that each chunk is sent to."""
+    n = rules.count()
+    few = n <= params.broadcast_rules
     if "type_key" in rules.columns and "type_key" in chunks.columns:
-        return chunks.join(side, "type_key")
-    if not few:
-        raise ValueError("rules without type_key are matched with all documents and must be few")
-    return chunks.join(side)
+        return chunks.join(F.broadcast(rules) if few else rules, "type_key")
+    if few:
+        return chunks.join(F.broadcast(rules))
+    blocks = -(-n // params.broadcast_rules)
+    dealt = rules.withColumn("_block", F.pmod(F.xxhash64("item_key"), F.lit(blocks)).cast("int"))
+    return chunks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block").drop("_block")
 
 
 def cosine_topk(rules: DataFrame, vectors: DataFrame, k: int, params: Params = Params(), scope: str = "doc_id") -> DataFrame:
@@ -42,6 +50,108 @@ def lexical_hits(rules: DataFrame, index: DataFrame) -> DataFrame:
     return index.join(words, "token").select("item_key", "doc_id", "chunk_pos").distinct()
 
 
+class RuleBlock:
+    """Up to ``broadcast_rules`` rules as arrays: unit vectors, and for each token the rules (or hints) that it stands in."""
+
+    def __init__(self, rows: list):
+        self.keys, self.types = [r["item_key"] for r in rows], np.array([r["type_key"] or "" for r in rows], object)
+        self.vectors = unit_rows(np.array([r["rule_vec"] for r in rows], np.float64).reshape(len(rows), -1))
+        self.words, self.hints, self.n_hints = defaultdict(list), defaultdict(list), np.zeros(len(rows), np.int64)
+        self.hint_sizes: list[int] = []
+        self.hint_rules: list[int] = []
+        for i, r in enumerate(rows):
+            for w in set(r["keywords"]):
+                self.words[w].append(i)
+            self.n_hints[i] = len(r["hint_sets"])
+            for tokens in r["hint_sets"]:
+                for w in tokens:
+                    self.hints[w].append(len(self.hint_sizes))
+                self.hint_sizes.append(len(tokens))
+                self.hint_rules.append(i)
+
+    def hits(self, tokens: list[str]) -> list[int]:
+        return [i for w in tokens if w in self.words for i in self.words[w]]
+
+    def hint_share(self, tokens: list[str]) -> np.ndarray:
+        """For each rule the share of its hints whose tokens are all among these."""
+        met: dict[int, int] = defaultdict(int)
+        for w in tokens:
+            for h in self.hints.get(w, ()):
+                met[h] += 1
+        out = np.zeros(len(self.keys))
+        for h, n in met.items():
+            if n == self.hint_sizes[h]:
+                out[self.hint_rules[h]] += 1
+        return out / np.maximum(self.n_hints, 1)
+
+
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
+
+
+def _candidates(block: RuleBlock, most: int, gate: bool, schema: pa.Schema):
+    """Chunks -> for each rule and document of a batch, the first ``most`` of every kind (g: nearest, m: hinted, s: gated): the rest can't be among the first of all."""
+    def top(score: np.ndarray, kind: str, sims: np.ndarray, wanted: np.ndarray | None) -> Iterator[tuple]:
+        score = score if wanted is None else np.where(wanted, score, -np.inf)
+        order = np.argsort(-score, axis=0, kind="stable")[:most]
+        by = np.take_along_axis(score, order, 0)
+        place, rule = np.nonzero(by > -np.inf)
+        at = order[place, rule]
+        yield at, rule, sims[at, rule], kind, by[place, rule]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not block.keys:
+                continue
+            batch = batch.take(pa.compute.sort_indices(batch, [("doc_id", "ascending"), ("type_key", "ascending"), ("chunk_pos", "ascending")]))
+            vectors = unit_rows(np.array(batch.column("vec").to_pylist(), np.float64))
+            tokens, hinted = batch.column("search_tokens").to_pylist(), batch.column("hint_tokens").to_pylist()
+            scopes = list(zip(batch.column("doc_id").to_pylist(), batch.column("type_key").to_pylist()))
+            begin = 0
+            while begin < len(scopes):
+                end = begin + 1
+                while end < len(scopes) and scopes[end] == scopes[begin]:
+                    end += 1
+                own = np.flatnonzero(block.types == (scopes[begin][1] or ""))
+                if len(own):
+                    sims = vectors[begin:end] @ block.vectors[own].T
+                    found = [*top(sims, "g", sims, None)]
+                    if block.hint_sizes:
+                        hint = np.stack([block.hint_share(t)[own] for t in hinted[begin:end]])
+                        found += top(hint, "m", sims, hint > 0)
+                    if gate:
+                        hit = np.zeros((end - begin, len(block.keys)), bool)
+                        for k, t in enumerate(tokens[begin:end]):
+                            hit[k, block.hits(t)] = True
+                        found += top(sims, "s", sims, hit[:, own])
+                    for at, rule, sim, kind, by in found:
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column("doc_id").take(pa.array(begin + at)), pa.array([block.keys[i] for i in own[rule]], schema.field("item_key").type), batch.column("chunk_pos").take(pa.array(begin + at)), pa.array(sim), pa.array([kind] * len(at), pa.string()), pa.array(by)],
+                            ["doc_id", "item_key", "chunk_pos", "similarity", "kind", "by"],
+                        )
+                begin = end
+
+    return work
+
+
+def candidates(rules: DataFrame, chunks: DataFrame, most: int, gate: bool, params: Params) -> DataFrame:
+    """(doc_id, item_key, chunk_pos, similarity, kind, by): of each kind the first ``most`` for each rule and document.
+
+    rules: item_key, type_key, rule_vec, keywords, hint_sets; chunks: doc_id, type_key, chunk_pos, vec, search_tokens, hint_tokens. Rules
+    go to the executors in blocks of at most ``broadcast_rules``, each with a pass over the chunks. Similarities are products of
+    matrices, and only what may be among the first leaves a task. Empty rules or chunks give no rows.
+    """
+    spark = rules.sparkSession
+    blocks = -(-rules.count() // params.broadcast_rules)
+    out = f"doc_id {dict(chunks.dtypes)['doc_id']}, item_key {dict(rules.dtypes)['item_key']}, chunk_pos {dict(chunks.dtypes)['chunk_pos']}, similarity double, kind string, by double"
+    made = spark.createDataFrame([], out)
+    for k in range(blocks):
+        some = rules if blocks == 1 else rules.where(F.pmod(F.xxhash64("item_key"), F.lit(blocks)) == k)
+        table = some.toArrow()
+        made = made.unionByName(chunks.mapInArrow(_candidates(RuleBlock(table.to_pylist()), most, gate, table.schema), out))
+    return _first(made, ["doc_id", "item_key", "kind"], [F.desc("by"), F.col("chunk_pos")], most)
+
+
 def match(rules: DataFrame, chunks: DataFrame, params: Params = Params()) -> DataFrame:
     """W12. rules: item_key, rule_vec, keywords, section_hints (type_key); chunks: doc_id, chunk_pos, chunk_id, vec and the text columns (type_key).
 
@@ -53,22 +163,14 @@ def match(rules: DataFrame, chunks: DataFrame, params: Params = Params()) -> Dat
     keys = ["doc_id", "item_key"]
     heading, search = F.col("heading_guess"), T.chunk_search_text()
     rest = F.concat_ws(" ", *(T.nn(F.col(x)) for x in ("heading_guess", "section_title", "statement_area", "chunk_type", "note_number", "text_redacted")))
-    type_key = ["type_key"] if "type_key" in rules.columns and "type_key" in chunks.columns else []
-    rules = rules.select("item_key", *type_key, S.unit(F.col("rule_vec")).alias("rule_vec"), S.normalize_keywords(F.col("keywords")).alias("keywords"), S.normalize_keywords(F.col("section_hints")).alias("hints"))
+    typed = "type_key" in rules.columns and "type_key" in chunks.columns
+    type_key = (F.col("type_key").cast("string") if typed else F.lit("")).alias("type_key")
+    rules = rules.select("item_key", type_key, F.col("rule_vec").cast("array<double>").alias("rule_vec"), S.normalize_keywords(F.col("keywords")).alias("keywords"), S.normalize_keywords(F.col("section_hints")).alias("hints"))
     rules = rules.withColumns({"keyword_sets": S.keyword_sets(F.col("keywords")), "hint_sets": S.keyword_sets(F.col("hints"))})
-    narrow = chunks.select("doc_id", "chunk_pos", *type_key, S.unit(F.col("vec")).alias("vec"), T.token_set(search).alias("search_tokens"), T.token_set(rest).alias("hint_tokens"))
-    pairs = scoped(rules, narrow, params).withColumn("similarity", S.dot(F.col("rule_vec"), F.col("vec")))
     gate = params.keyword_prefilter
-    hit = F.arrays_overlap("keywords", "search_tokens") if gate else F.lit(False)
-    near = [F.desc("similarity"), F.col("chunk_pos")]
-    out = keys + ["chunk_pos", "similarity"]
-    flags = lambda g, m, s: [F.lit(g).alias("g"), F.lit(m).alias("m"), F.lit(s).alias("s")]
-    nearest = _first(pairs.select(*out), keys, near, c).select(*out, *flags(True, False, False))
-    hinted = _first(pairs.where(F.size("hint_sets") > 0).select(*out, S.overlap(F.col("hint_sets"), F.col("hint_tokens")).alias("hint")).where("hint > 0"), keys, [F.desc("hint"), F.col("chunk_pos")], c).select(*out, *flags(False, True, False))
-    both = nearest.unionByName(hinted)
-    if gate:
-        both = both.unionByName(_first(pairs.where(hit).select(*out), keys, near, c).select(*out, *flags(False, False, True)))
-    found = both.groupBy(*keys, "chunk_pos").agg(F.first("similarity").alias("similarity"), *(F.bool_or(x).alias(x) for x in "gms"))
+    narrow = chunks.select("doc_id", type_key, "chunk_pos", F.col("vec").cast("array<double>").alias("vec"), T.token_set(search).alias("search_tokens"), T.token_set(rest).alias("hint_tokens"))
+    first = candidates(rules.select("item_key", "type_key", "rule_vec", "keywords", "hint_sets"), narrow, c, gate, params)
+    found = first.groupBy(*keys, "chunk_pos").agg(F.first("similarity").alias("similarity"), *(F.bool_or(F.col("kind") == x).alias(x) for x in "gms"))
     w = Window.partitionBy(*keys)
     n_short = F.count_if(F.col("s")).over(w)
     asked = F.lit(gate) & (F.size("keywords") > 0)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import pii, scoring as S, text as T, verdict as V
@@ -13,25 +11,7 @@ from ..operators.hints import with_hints
 from ..operators.store import last_wins, materialize, missing, upsert
 from ..params import Params
 from ..sources.pages import pages_of_table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .catalogue import HEADING, ORACLES, QUERIES, query, table  # noqa: F401
 
 def keyword_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as rules: their long words are the keywords."""
@@ -71,11 +51,21 @@ def pii_email_numbered(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", pii.redact(F.col("text")).alias("redacted"), F.size(pii.audit(F.col("text"))).cast("long").alias("n_found"))
 
 
-@query(r"""
-SELECT c_custkey, 'Name: [PERSON_1]; Tel: [PHONE_1]; Ref: [ID_1]' AS redacted, CAST(3 AS BIGINT) AS n_found FROM customer""")
+_NAME = r"\b(Name|Client|Prepared by|Reviewed by)\s*:\s*([A-Za-z][A-Za-z\s'.-]{1,80})"
+_PHONE = r"(?i)\b(Tel|Telephone|Phone|Mobile|Fax)\s*:\s*(\+?\d[\d\s().-]{6,}\d)\b"
+
+
+@query(rf"""
+WITH n AS (SELECT c_custkey, translate(c_name, '#0123456789', ' abcdefghij') AS name, lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS k FROM customer),
+t AS (SELECT c_custkey, 'Name : ' || name || '; Tel: 25-' || k || '; Ref: ab' || k || 'C' || CASE WHEN c_custkey % 2 = 0 THEN '; Reviewed by: ' || name || ', mobile: +44 (0) ' || k ELSE '; Fax: none' END AS x FROM n),
+a AS (SELECT c_custkey, regexp_replace(x, '(?i)\b[A-Z]{{2}}\d{{6}}[A-Z]?\b', '[ID_1]') AS x FROM t),
+b AS (SELECT c_custkey, regexp_replace(regexp_replace(x, '{_NAME.replace("'", "''")}', '\1: [PERSON_1]'), '{_NAME.replace("'", "''")}', '\1: [PERSON_2]') AS x FROM a)
+SELECT c_custkey, regexp_replace(regexp_replace(x, '{_PHONE}', '\1: [PHONE_1]'), '{_PHONE}', '\1: [PHONE_2]') AS redacted, CAST(3 + 2 * len(regexp_extract_all(x, 'PERSON_2')) AS BIGINT) AS n_found FROM b""")
 def pii_labelled_fields(spark, sf_dir):
-    digits = F.lpad(F.col("c_custkey").cast("string"), 6, "0")
-    text = F.concat(F.lit("Name : Jo O'Neil; Tel: +44 20 "), digits, F.lit("; Ref: ab"), digits, F.lit("C"))
+    """Names and telephone numbers of customers in labelled fields; every second text has two of the names."""
+    k = F.lpad(F.col("c_custkey").cast("string"), 6, "0")
+    name = F.translate("c_name", "#0123456789", " abcdefghij")
+    text = F.concat(F.lit("Name : "), name, F.lit("; Tel: 25-"), k, F.lit("; Ref: ab"), k, F.lit("C"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("; Reviewed by: "), name, F.lit(", mobile: +44 (0) "), k)).otherwise("; Fax: none"))
     return table(spark, sf_dir, "customer").select("c_custkey", pii.redact(text).alias("redacted"), F.size(pii.audit(text)).cast("long").alias("n_found"))
 
 
@@ -108,15 +98,10 @@ def edge_lines_repeated(spark, sf_dir):
     return side("head", "heads").unionByName(side("tail", "tails"))
 
 
-_HEADING = r"""CASE WHEN line = '' OR regexp_matches(line, '^\d{1,3}$') OR regexp_matches(line, '^(?:\d{4}\s+){1,3}\d{4}$') OR len(string_split(line, ' ')) > 12 OR NOT regexp_matches(line, '\p{L}') THEN false
-WHEN regexp_matches(line, '(?i)^(note|notes)\s+[a-z0-9]+') OR regexp_matches(line, '^\d+\s+[A-Za-z]') OR regexp_matches(line, '^(?:\d+(?:\.\d+)*|[A-Z])[).\-:]\s+\S') THEN true
-WHEN regexp_matches(line, '\d') AND len(list_filter(string_split(line, ' '), lambda w: regexp_matches(w, '\p{L}'))) <= 1 THEN false
-ELSE (upper(line) = line AND regexp_matches(line, '\p{Lu}') AND len(string_split(line, ' ')) <= 10 AND NOT regexp_matches(line, '\d')) OR line LIKE '%:'
- OR (len(list_filter(string_split(line, ' '), lambda w: regexp_matches(w, '^\p{Lu}'))) >= greatest(1, len(string_split(line, ' ')) - 1) AND NOT regexp_matches(line, '\d') AND NOT regexp_matches(line, '[.;]$')) END"""
 _TABLE = r"""(regexp_matches(line, '^(?:\d{4}\s+){1,3}\d{4}$') OR contains(line, '|') OR (len(string_split(line, ' ')) >= 5 AND len(list_filter(string_split(line, ' '), lambda t: regexp_matches(t, '(?i)^[\[\]A-Z_0-9,.()%/-]+$'))) >= greatest(3, len(string_split(line, ' ')) // 2)))"""
 
 
-@query(f"WITH {_LINES} SELECT doc_id, count(*) FILTER (WHERE {_HEADING}) AS n_headings, count(*) FILTER (WHERE {_TABLE}) AS n_tables, count(*) AS n_lines FROM lines GROUP BY doc_id")
+@query(f"WITH {_LINES} SELECT doc_id, count(*) FILTER (WHERE {HEADING}) AS n_headings, count(*) FILTER (WHERE {_TABLE}) AS n_tables, count(*) AS n_lines FROM lines GROUP BY doc_id")
 def line_flags(spark, sf_dir):
     """F12 and F13 over every line of every document."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.clean_lines(F.col("text"))).alias("line"))
@@ -191,12 +176,12 @@ _STATUS = "CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN toxic = 1 THEN 'partia
 
 
 def _statuses(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_key"), F.when(F.col("toxic") == 1, "partially_met").when(F.col("quality") == 1, "fully_met").otherwise("missing").alias("status"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_key"), F.when(F.col("toxic") == 1, "partially_met").when(F.col("quality") == 1, "fully_met").otherwise("missing").alias("status"), (F.col("doc_id") % 100 / 100).alias("similarity"))
     items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_key"), F.col("source").alias("sheet_name"), F.concat(F.col("doc_id").cast("string"), F.lit(".1")).alias("requirement_id"), "lang")
     return R.report_items(items, labels)
 
 
-@query(f"SELECT d.doc_id AS item_key, {_STATUS} AS status, {_STATUS} <> 'fully_met' OR true AS needs_review FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+@query(f"SELECT d.doc_id AS item_key, {_STATUS} AS status, CASE WHEN {_STATUS} <> 'fully_met' THEN true ELSE (d.doc_id % 100) / 100.0 < 0.55 END AS needs_review FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def report_left_default(spark, sf_dir):
     return _statuses(spark, sf_dir).select("item_key", "status", "needs_review")
 
@@ -231,22 +216,29 @@ def row_explanation(spark, sf_dir):
     return got.select("l_orderkey", V.row_explanation(F.lit(True), F.lit(False), F.col("uniform_reason"), F.col("explanation")).alias("explanation"))
 
 
-@query(f"WITH {_ROLL} SELECT l_orderkey, CASE WHEN status = 'missing' THEN true ELSE low < 0.72 END AS needs_review FROM v")
+@query(f"WITH {_ROLL} SELECT l_orderkey, CASE WHEN status = 'missing' THEN true WHEN l_orderkey % 3 <> 0 THEN low < 0.72 WHEN status = 'partially_met' THEN true ELSE (l_orderkey % 100) / 100.0 < 0.55 END AS needs_review FROM v")
 def needs_review(spark, sf_dir):
+    """by the status, the least confidence (none for every third order), and the similarity."""
     checks = _line_checks(spark, sf_dir)
     low = checks.groupBy("l_orderkey").agg(F.min("confidence").alias("low"))
     got = R.rollup_checks(checks, ["l_orderkey"]).select("l_orderkey", "status").join(low, "l_orderkey")
-    return got.select("l_orderkey", V.needs_review(F.col("status"), F.array("low"), F.lit(None).cast("double")).alias("needs_review"))
+    known = F.when(F.col("l_orderkey") % 3 != 0, F.array("low")).otherwise(F.array(F.lit(None).cast("double")))
+    return got.select("l_orderkey", V.needs_review(F.col("status"), known, F.col("l_orderkey") % 100 / 100).alias("needs_review"))
 
 
 @query("""
-SELECT event_id, CASE event_type WHEN 'click' THEN 'fully_met' WHEN 'view' THEN 'partially_met' WHEN 'purchase' THEN 'missing' END AS status,
- CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'kind ' || event_type END AS reason, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN round(greatest(0.0, least(1.0, value)), 6) END AS confidence FROM events""")
+WITH e AS (SELECT event_id, event_type, value, event_id % 9 IN (1, 2, 3, 4) AS broken, event_id % 9 = 5 AS odd FROM events),
+v AS (SELECT *, NOT broken AND event_type IN ('click', 'view', 'purchase') AS ok FROM e)
+SELECT event_id, CASE WHEN ok THEN CASE event_type WHEN 'click' THEN 'fully_met' WHEN 'view' THEN 'partially_met' ELSE 'missing' END END AS status,
+ CASE WHEN ok AND NOT odd THEN 'kind ' || event_type END AS reason, CASE WHEN ok AND NOT odd THEN round(greatest(0.0, least(1.0, value)), 6) END AS confidence FROM v""")
 def judge_parse(spark, sf_dir):
-    e = F.col("event_type")
+    """Bodies that are whole, cut off, an array, empty, another word, or with an empty reason and no number."""
+    e, k = F.col("event_type"), F.col("event_id") % 9
     word = F.when(e == "click", "FULLY").when(e == "view", "partial").when(e == "purchase", "NONE").otherwise("MAYBE")
     body = F.to_json(F.struct(word.alias("status"), F.concat(F.lit(" kind  "), e).alias("reason"), F.col("value").alias("confidence")))
-    got = table(spark, sf_dir, "events").select("event_id", V.parse_judgement(body).alias("v"))
+    odd = F.to_json(F.struct(word.alias("status"), F.lit("  ").alias("reason"), F.lit("high").alias("confidence")))
+    raw = F.when(k == 1, F.lit("not json")).when(k == 2, F.concat(F.lit("["), body, F.lit("]"))).when(k == 3, "").when(k == 4, F.lit(None).cast("string")).when(k == 5, odd).when(k == 6, F.concat(F.lit(" "), body, F.lit("\n"))).otherwise(body)
+    got = table(spark, sf_dir, "events").select("event_id", V.parse_judgement(raw).alias("v"))
     return got.select("event_id", "v.status", "v.reason", F.round("v.confidence", 6).alias("confidence"))
 
 
@@ -266,11 +258,6 @@ def type_key_map(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.type_key(stem).alias("type_key"))
 
 
-@query("SELECT event_id, CASE WHEN value / 500 >= 0.83 THEN 'fully_met' WHEN value / 500 >= 0.72 THEN 'partially_met' ELSE 'missing' END AS status FROM events")
-def similarity_bands(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", S.similarity_status(F.col("value") / 500).alias("status"))
-
-
 @query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE o_orderpriority END AS o_orderpriority FROM orders")
 def upsert_snapshot(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
@@ -290,13 +277,21 @@ def retrieval_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.item_retrieval_text(F.col("p_type"), leaf).alias("retrieval_text"))
 
 
-@query("SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || ': ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, role, text)) AS packed_sha FROM conversations GROUP BY conv_id")
+@query("""
+WITH t AS (SELECT conv_id, role || ': ' AS label, coalesce(text, '') AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS j FROM conversations),
+u AS (SELECT *, sum(len(label || body) + CASE WHEN j > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY j) AS used FROM t),
+x AS (SELECT conv_id, min(j) FILTER (WHERE used > 900) AS cut, count(*) AS n FROM u GROUP BY conv_id),
+y AS (SELECT conv_id, j, CASE WHEN cut IS NULL OR j < cut THEN label || body WHEN 900 - (used - len(label || body)) > 80 THEN left(body, CAST(900 - (used - len(label || body)) AS BIGINT)) END AS block FROM u JOIN x USING (conv_id) WHERE cut IS NULL OR j <= cut)
+SELECT conv_id, any_value(n) AS n_turns, sha256(coalesce(string_agg(block, chr(10) || chr(10) ORDER BY j), '')) AS packed_sha FROM y JOIN x USING (conv_id) GROUP BY conv_id""")
 def turns_packed(spark, sf_dir):
-    """W14's joining of ordered blocks with a budget that all of them fit into."""
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    """W14's joining of ordered blocks, with 900 characters for each conversation; of a long one only turns that may fit are gathered."""
+    rows, most = table(spark, sf_dir, "conversations"), 900
+    n = rows.groupBy("conv_id").agg(F.count("*").alias("n_turns"))
+    first = M._first(rows, ["conv_id"], [F.col("turn"), F.col("role"), F.col("text")], most // 3 + 2)
+    gathered = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("rank", "role", "text"))).alias("t"))
     blocks = F.transform("t", lambda x: F.struct(F.concat(x["role"], F.lit(": ")).alias("label"), F.coalesce(x["text"], F.lit("")).alias("text")))
-    packed = E._pack(blocks, 1 << 30, lambda b, room: b["text"], lambda b: F.lit(0))
-    return rows.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(packed, 256).alias("packed_sha"))
+    packed = E._pack(blocks, most, lambda b, room: F.left(b["text"], room), lambda b: F.lit(0))
+    return gathered.withColumn("packed_sha", F.sha2(packed, 256)).join(n, "conv_id").select("conv_id", "n_turns", "packed_sha")
 
 
 @query()

@@ -2,7 +2,8 @@
 
 Text is cut only where no token of the given tokenizer can span the cut; the
 ids of a document are then those of its units in turn. Units that a worker has
-met are looked up by hash; only new ones go to the library.
+met are looked up by hash; only new ones go to the library. A text with the
+string of a special token goes to the library as a whole, which gives that token's id.
 """
 
 from __future__ import annotations
@@ -65,7 +66,8 @@ class Encoder:
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok, self.kind = Tokenizer.from_file(path), kind
-        self.tok.encode_special_tokens = True
+        #: Strings that the library takes out of a text before anything else, as they are and in lower case.
+        self.special = sorted({raw for t in self.tok.get_added_tokens_decoder().values() for raw in (t.content.encode(), t.content.lower().encode())})
         self.forget()
 
     def forget(self) -> None:
@@ -102,6 +104,10 @@ class Encoder:
         self.size = np.insert(self.size, where, sizes)
         self.ids = np.concatenate((self.ids, ids))
 
+    def whole(self, raw: bytes) -> bool:
+        """Whether the library must see this text as a whole: it may hold a special token, or white space beyond ASCII."""
+        return odd_space(raw) or any(x in raw for x in self.special) or (self.kind == SPACE_UNITS and any(x in raw.lower() for x in self.special))
+
     def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return cuts(data, offsets, self.kind)
 
@@ -152,13 +158,12 @@ class Encoder:
         for batch in slices(batches):
             data, offsets = text_bytes(batch.column("text"))
             raw = data.tobytes()
-            odd = odd_space(raw)
-            if odd:
+            if self.whole(raw):
                 flat, sizes = [], []
                 for i in range(batch.num_rows):
                     part = data[offsets[i] : offsets[i + 1]]
                     text = raw[offsets[i] : offsets[i + 1]]
-                    if odd_space(text):
+                    if self.whole(text):
                         ids = np.array(self.tok.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
                     else:
                         ids = self.flat(part, np.array([0, len(part)]))[0]

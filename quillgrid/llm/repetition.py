@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import IS_SPACE, U, Words, mix, run_starts, slices, span_hashes, text_bytes, window_hashes
+from .text import IS_SPACE, U, Words, mix, powers, run_starts, slices, span_hashes, text_bytes, window_hashes
 
 #: Repeats of fewer words are ordinary phrases and are left out of account.
 LEAST_REPEAT = 10
@@ -21,19 +21,20 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
 def suffix_array(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of several texts in the order of their words' hashes, text by text, and the lcp of neighbours (0 between texts).
+    """Suffixes of several texts in an order that brings equal beginnings of one text together, and the lcp of neighbours (0 between texts).
 
     hashes and owner: of each word. Prefix doubling: the rank by the first 2h words
     comes from the ranks by h words of a suffix and of the one h words on; only suffixes
-    whose rank is still shared are sorted again. The ranks of each round are kept: two
-    suffixes agree in h words if and only if their ranks are equal, so binary descent gives the lcp.
+    whose rank is still shared are sorted again. The lcp comes by binary descent over the sizes that the rounds
+    met, on hashes of runs of words from one prefix sum, so memory is in proportion to the words.
     """
     n = len(hashes)
-    order = np.lexsort((hashes, owner))
-    lead = np.flatnonzero(np.concatenate(([True], (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1]))))
+    key = mix(hashes + owner.astype(U) * U(0x9E3779B97F4A7C15))
+    order = np.argsort(key)
+    lead = run_starts(key[order])
     rank = np.full(n + 1, -1, np.int64)
     rank[order] = np.repeat(lead, np.diff(np.append(lead, n)))
-    levels, h = [rank.copy()], 1
+    h = 1
     places = np.arange(n)
     shared = np.repeat(np.diff(np.append(lead, n)) > 1, np.diff(np.append(lead, n)))
     while shared.any():
@@ -42,7 +43,7 @@ def suffix_array(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.
         ahead = np.minimum(live + h, n)
         follow = np.where((ahead < n) & (owner[np.minimum(ahead, n - 1)] == owner[live]), rank[ahead], -1)
         key = rank[live] * (n + 1) + follow + 1
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         live, key = live[by], key[by]
         order[seat] = live
         lead = run_starts(key)
@@ -50,14 +51,27 @@ def suffix_array(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.
         rank[live] = np.repeat(seat[lead], size)
         places, shared = seat, np.repeat(size > 1, size)
         h *= 2
-        levels.append(rank.copy())
+    # neighbours share fewer than 2 * h words now
+    pw, inv = powers(n + 1)
+    total = np.zeros(n + 1, U)
+    np.cumsum(hashes * pw[:n], out=total[1:])
+    text_end = np.append(np.searchsorted(owner, owner, "right"), n)
     a, b = order[:-1].copy(), order[1:].copy()
     lcp = np.zeros(n, np.int64)
     alike = owner[a] == owner[b]
-    for i in range(len(levels) - 1, -1, -1):
-        eq = alike & (levels[i][a] == levels[i][b]) & (a < n) & (b < n)
-        lcp[1:] += eq * (1 << i)
-        a, b = np.minimum(a + eq * (1 << i), n), np.minimum(b + eq * (1 << i), n)
+    left = np.minimum(text_end[a] - a, text_end[b] - b)  # words that both have left
+    live = np.flatnonzero(alike)
+    while h:
+        live_a, live_b = a[live], b[live]
+        fits = left[live] >= h
+        x, y = live_a[fits], live_b[fits]
+        same = (total[x + h] - total[x]) * inv[x] == (total[y + h] - total[y]) * inv[y]
+        go = live[fits][same]
+        lcp[go + 1] += h
+        a[go] += h
+        b[go] += h
+        left[go] -= h
+        h //= 2
     return order, lcp
 
 
@@ -65,35 +79,29 @@ def repeats_in(hashes: np.ndarray, bounds: np.ndarray, least: int = LEAST_REPEAT
     """Words within repeated runs of at least ``least`` words, and the longest repeated run, of each text.
 
     An lcp of neighbours of at least ``least`` spans a repeated run at both; these spans together are those of
-    all maximal repeats, as every suffix has its longest match beside it. Texts in
-    which no window of ``least`` words is repeated have no such run and need no suffix array.
+    all maximal repeats, as every suffix has its longest match beside it.
     """
     n_texts = len(bounds) - 1
     covered, longest = np.zeros(n_texts, np.int64), np.zeros(n_texts, np.int64)
-    have = repeated_windows(hashes, bounds, least)[1]
-    some = np.flatnonzero(have)
-    if len(some) == 0:
+    if len(hashes) == 0:
         return covered, longest
-    size = np.diff(bounds)[some]
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(bounds[some], size)
-    owner = np.repeat(np.arange(len(some)), size)
-    order, lcp = suffix_array(hashes[at], owner)
+    owner = np.repeat(np.arange(n_texts), np.diff(bounds))
+    order, lcp = suffix_array(hashes, owner)
     most = np.maximum(lcp, np.append(lcp[1:], 0))
-    np.maximum.at(longest, some[owner[order]], most)
+    np.maximum.at(longest, owner[order], most)
     long_ = most >= least
-    cover = np.zeros(len(at) + 1, np.int64)
+    cover = np.zeros(len(hashes) + 1, np.int64)
     np.add.at(cover, order[long_], 1)
     np.add.at(cover, order[long_] + most[long_], -1)
-    np.add.at(covered, some[owner], (np.cumsum(cover)[:-1] > 0).astype(np.int64))
+    covered += np.bincount(owner, np.cumsum(cover)[:-1] > 0, n_texts).astype(np.int64)
     return covered, longest
 
 
-def repeated_windows(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words within windows of k words that a text has twice or more, and whether it has any such window."""
+def repeated_windows(hashes: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
+    """Words within windows of k words that a text has twice or more."""
     n = np.maximum(np.diff(bounds) - k + 1, 0)
-    words, some = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
     if not n.any():
-        return words, some
+        return np.zeros(len(n), np.int64)
     owner = np.repeat(np.arange(len(n)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[:-1], n)
     key = mix(window_hashes(hashes, k)[at] + owner.astype(U) * U(0x9E3779B97F4A7C15))
@@ -101,13 +109,12 @@ def repeated_windows(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np
     first = run_starts(key[order])
     count = np.diff(np.append(first, len(order)))
     twice = order[np.repeat(count > 1, count)]
-    some[owner[twice]] = True
     cover = np.zeros(len(hashes) + 1, np.int64)
     cover[at[twice]] += 1  # one window begins at a place
     cover = np.cumsum(cover)
     within = cover[:-1] - np.concatenate((np.zeros(min(k, len(hashes)), np.int64), cover[: len(hashes) - k]))[: len(hashes)] > 0
     total = np.concatenate(([0], np.cumsum(within)))
-    return total[bounds[1:]] - total[bounds[:-1]], some
+    return total[bounds[1:]] - total[bounds[:-1]]
 
 
 def _sum_by(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -139,7 +146,7 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     data, offsets = text_bytes(column)
     words = Words(data, offsets)
     n = words.counts().astype(np.int64)
-    repeat, _ = repeated_windows(words.hashes, words.bounds, 5)
+    repeat = repeated_windows(words.hashes, words.bounds, 5)
     covered, longest = repeats_in(words.hashes, words.bounds)
     base = (n < 10) | (100 * repeat > 20 * n)
     fault = (100 * covered > MOST_COVERED * n) | ((longest >= LONG_REPEAT) & (100 * longest > MOST_LONGEST * n))

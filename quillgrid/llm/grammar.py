@@ -18,6 +18,8 @@ from .units import BYTE_UNITS, encoder
 SHARD_IDS = 1 << 20
 #: Pairs named in a round, and the least count of a named pair.
 PAIRS, LEAST = 2048, 8
+#: Bits of the table that pairs are looked up in.
+TABLE_BITS = 18
 #: Shard format, version 1, little-endian: magic, version, count of terminals, rules, documents,
 #: symbols, ids (6 x u32); rules (left, right: u32 each); expansion length of each rule (u32);
 #: first symbol of each document and the end (u32 each); ids of each document (u32 each); symbols (u16 or,
@@ -42,33 +44,37 @@ def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int) -> bytes:
     left, right, size = [], [], [np.ones(terminals, np.int64)]
     n = terminals
     narrow = terminals < 1 << 16
+    kind, half = (np.uint32, 16) if narrow else (np.uint64, 32)
+    low = kind((1 << half) - 1)
+    spread = lambda k: ((k * kind(0x9E3779B1 if narrow else 0x9E3779B97F4A7C15)) >> kind(2 * half - TABLE_BITS)).astype(np.int64)
+    frequent, newest = None, n
     while len(seq) >= 2:
-        key = ((seq[:-1] << np.uint32(16)) | seq[1:]) if narrow else ((seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:])
+        key = (seq[:-1].astype(kind) << kind(half)) | seq[1:].astype(kind)
+        where = spread(key)
         inner = ~first[1:]
-        sorted_ = np.sort(key[inner])
+        # after the first round a pair is frequent only if it was so before or holds a new symbol; all of its occurrences are counted
+        some = inner if frequent is None else inner & (frequent[where] | (seq[:-1] >= newest) | (seq[1:] >= newest))
+        sorted_ = np.sort(key[some])
         at = run_starts(sorted_)
         count = np.diff(np.append(at, len(sorted_)))
         room = min(PAIRS, (1 << 16) - n if narrow else PAIRS)
         good = np.flatnonzero(count >= LEAST)
         if len(good) == 0 or room <= 0:
             break
-        if len(good) > room:
-            good = good[np.argsort(-count[good], kind="stable")[:room]]
         good = good[np.argsort(-count[good], kind="stable")]
         pairs = sorted_[at[good]]
-        table_bits = 15
-        order = np.argsort(pairs)
-        ranked = pairs[order]
-        # a bit table answers most look-ups; the few that pass are looked up by binary search
-        spread = lambda k: ((k * k.dtype.type(0x9E3779B1)) >> k.dtype.type(k.dtype.itemsize * 8 - table_bits - 3)).astype(np.int64)
-        table = np.zeros(1 << table_bits + 3, bool)
-        table[spread(ranked)] = True
-        maybe = np.flatnonzero(table[spread(key)] & inner)
-        slot = np.minimum(np.searchsorted(ranked, key[maybe]), len(ranked) - 1)
-        ok = ranked[slot] == key[maybe]
+        frequent = np.zeros(1 << TABLE_BITS, bool)
+        frequent[spread(pairs)] = True
+        pairs = pairs[:room]
+        # of pairs with one place in the table the most frequent has it; the other waits for the next round
+        table = np.full(1 << TABLE_BITS, -1, np.int32)
+        table[spread(pairs)[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
+        named = table[where]
+        own = np.flatnonzero((named >= 0) & inner)
+        own = own[pairs[named[own]] == key[own]]
         rank = np.full(len(key) + 2, 1 << 30, np.int32)  # with a border on both sides
-        rank[maybe[ok] + 1] = order[slot[ok]]
-        own = maybe[ok] + 1
+        rank[own + 1] = named[own]
+        own += 1
         begins = np.ones(len(own), bool)
         begins[1:] = (np.diff(own) > 1) | (np.diff(rank[own]) != 0)
         run = np.flatnonzero(begins)
@@ -79,11 +85,12 @@ def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int) -> bytes:
         named = rank[best + 1].astype(np.int64)
         used = np.bincount(named, minlength=len(pairs)) > 0  # a pair that better ones overlap everywhere gets no symbol
         pairs, named = pairs[used], (np.cumsum(used) - 1)[named]
-        l, r = (pairs >> pairs.dtype.type(16 if narrow else 32)).astype(np.int64), (pairs & pairs.dtype.type(0xFFFF if narrow else 0xFFFFFFFF)).astype(np.int64)
+        l, r = (pairs >> kind(half)).astype(np.int64), (pairs & low).astype(np.int64)
         lengths = np.concatenate(size)
         left.append(l)
         right.append(r)
         size.append(lengths[l] + lengths[r])
+        newest = n
         seq[best] = (n + named).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[best + 1] = False

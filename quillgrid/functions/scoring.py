@@ -23,10 +23,11 @@ def unit(v: Column) -> Column:
 
 
 def parse_vector(c: Column) -> Column:
-    """From "[..]", "{..}" or text around "[..]"; null is empty, other text an error where it is read."""
+    """From "[..]", "{..}" (which may be empty) or text with one "[..]" of numbers in it; null is empty, other text an error where it is read."""
     t = strip(c)
-    inner = F.regexp_extract(t, r"(?s)[\[{](.*)[\]}]", 1)
-    return F.when(c.isNull() | (inner == ""), F.array().cast("array<float>")).otherwise(F.transform(F.split(inner, ","), lambda x: F.trim(x).cast("float")))
+    listed = F.when(t.startswith("["), t).when(t.startswith("{") & t.endswith("}"), F.concat(F.lit("["), F.substring(t, F.lit(2), F.length(t) - 2), F.lit("]"))).otherwise(F.regexp_extract(t, r"\[[\s\-0-9eE+.,]+\]", 0))
+    parsed = F.from_json(listed, "array<float>", {"mode": "FAILFAST"})
+    return F.when(c.isNull(), F.array().cast("array<float>")).otherwise(F.coalesce(F.when(listed != "", parsed), F.raise_error(F.concat(F.lit("no vector: "), t)).cast("array<float>")))
 
 
 def keyword_sets(keywords: Column) -> Column:

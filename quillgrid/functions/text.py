@@ -33,17 +33,18 @@ FRONT_TERMS = ("contents", "independent auditor", "directors' report")
 GENERIC_LEAF = ("the ", "any ", "its ", "their ", "details of ", "amount of ")
 # Words that say nothing in a hint, and hints that are too general.
 STOPWORDS = (
-    "the a an and any all at by be been being can covered date dates disclose disclosed disclosure disclosures end entity financial following for is include includes including "
-    "information items name period position report reporting required requirement of or are shall state stated statements that there these with from this have has must under above year question"
-).split()
-WEAK = "verify check ensure confirm presence indicates correct".split()
+    "the", "a", "an", "and", "any", "all", "at", "by", "be", "been", "being", "can", "covered", "date", "dates", "disclose", "disclosed", "disclosure", "disclosures",
+    "end", "entity", "financial", "following", "for", "is", "include", "includes", "including", "information", "items", "name", "period", "position", "report",
+    "reporting", "required", "requirement", "of", "or", "are", "shall", "state", "stated", "statements", "that", "there", "these", "with", "from", "this", "have", "has",
+    "must", "under", "above", "year", "question",
+)
+WEAK = (
+    "verify", "check", "ensure", "confirm", "presence", "indicates", "correct",
+)
 GENERIC_HINTS = ("disclosure", "disclosures", "financial statements", "reporting period", "period", "date", "details")
-LABEL_STOPWORDS = "the a an and of for to in on by or its any".split()
-
-
-def q(text: str) -> str:
-    """A SQL string literal."""
-    return "r'" + text + "'" if "\\" in text and "'" not in text else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+LABEL_STOPWORDS = (
+    "the", "a", "an", "and", "of", "for", "to", "in", "on", "by", "or", "its", "any",
+)
 
 
 def array_of(words) -> Column:

@@ -9,6 +9,9 @@ from .text import nn, reason_text, starts_any, strip, truncate
 
 # Messages of explanations.
 NO_EVIDENCE = "No document passages matched the rule keyword filter."
+NOT_JUDGED = "Automatic evaluation failed (upstream error)."
+BAD_JUDGEMENT = "The model returned an invalid or empty judgment."
+UNSUPPORTED = "The excerpts do not support this atomic check."
 KEYWORDS_MISSED = "Keyword shortlist missed; fallback retrieval used. "
 GENERIC_CHECKS = ("verify", "check", "ensure", "confirm")
 
@@ -28,6 +31,12 @@ def parse_judgement(raw: Column, reason_chars: int = 320) -> Column:
     return F.struct(status.alias("status"), F.when(known, reason_text(body["reason"], reason_chars)).alias("reason"), F.when(known, clamp_confidence(body["confidence"])).alias("confidence"))
 
 
+def check_prompt(requirement: Column, label: Column) -> Column:
+    """What a judge is asked: a check in the context of its requirement."""
+    context = F.when(strip(requirement) != "", truncate(requirement, 220)).otherwise(nn(requirement))
+    return F.concat(F.lit("Row context: "), context, F.lit("\nAtomic check: "), label, F.lit("\nJudge only this atomic check against the evidence."))
+
+
 def _kind(c: Column) -> Column:
     k = F.lower(strip(c))
     return F.when(k.isin("required", "supporting"), k).otherwise("required")

@@ -48,7 +48,3 @@ def valid_evidence(c) -> Column:
     kept = F.filter(c, lambda e: e.isNotNull() & e["chunkId"].isNotNull() & e["text"].isNotNull())
     return F.when(F.size(kept) > 0, kept)
 
-
-def set_step(steps, name: str, state: str) -> Column:
-    """U4: array<struct<name, state>> with one step's state changed."""
-    return F.transform(steps, lambda s: F.struct(s["name"].alias("name"), F.when(s["name"] == name, state).otherwise(s["state"]).alias("state")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scoring as S, text as T, verdict as V
-from ..operators import chunking as C, evidence as E, retrieval as M
+from ..operators import chunking as C, evidence as E, previews as P, retrieval as M
 from ..operators.clauses import extract_items
 from ..params import Params
 from ..schemas import RAW_ROWS
@@ -233,3 +233,34 @@ def explanation_branches(spark, sf_dir):
     k = F.col("l_orderkey") % 5
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     return rows.select("l_orderkey", V.row_explanation(k != 0, k == 2, F.when(k == 1, "the same reason"), F.concat(F.col("n").cast("string"), F.lit(" checks."))).alias("explanation"))
+
+
+# previews -----------------------------------------------------------------------------
+@query("""
+WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, q WHERE label % 2 = 1)
+SELECT vec_id, round(s, 6) AS similarity FROM s ORDER BY s DESC, vec_id LIMIT 8""")
+def nearest_items(spark, sf_dir):
+    """Of the vectors of one kind the eight nearest to the first of all."""
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id = 0").first()["embedding"]
+    items = v.select(F.col("vec_id").alias("item_key"), F.when(F.col("label") % 2 == 1, "odd").otherwise("even").alias("checklist_type_key"))
+    got = P.match_checklist_items(asked, items, v.select(F.col("vec_id").alias("item_key"), F.col("embedding").alias("rule_vec")), "odd")
+    return got.select(F.col("item_key").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(r"""
+SELECT source, count(*) AS pages, count(*) FILTER (WHERE trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '') AS pages_with_text, round(coalesce(avg(len(text)) FILTER (WHERE trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> ''), 0.0), 6) AS average_chars,
+ CAST(sum(len(regexp_extract_all(coalesce(text, ''), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b'))) AS BIGINT) AS replacements FROM documents GROUP BY source""")
+def pii_preview_counts(spark, sf_dir):
+    """Pages, those with text, their average length, and replacements."""
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_number"), "text")
+    _, _, stats = P.pii_preview(pages)
+    return stats.select(F.col("doc_id").alias("source"), "pages", "pages_with_text", F.round("average_chars", 6).alias("average_chars"), "replacements")
+
+
+@query("""
+SELECT p_type AS sheet, count(*) AS n FROM part WHERE lower(p_brand) IN ('brand#12', 'brand#23', 'brand#34') GROUP BY p_type ORDER BY n DESC, p_type LIMIT 10""")
+def sheet_counts(spark, sf_dir):
+    """The ten most frequent types among three brands, named in any case."""
+    items = table(spark, sf_dir, "part").select(F.col("p_brand").alias("sheet_name"), F.col("p_type").alias("sheet"))
+    return P.most_common(P.of_sheets(items, [" BRAND#12", "brand#23 ", "Brand#34", " "]), "sheet", 10)

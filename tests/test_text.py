@@ -69,7 +69,11 @@ def test_scores(value):
 def test_vectors(value):
     assert value(S.parse_vector, "[-0.5,0.25,1.0]") == [-0.5, 0.25, 1.0]
     assert value(S.parse_vector, "{0.0, 2.0}") == [0.0, 2.0]
-    assert value(S.parse_vector, None) == []
+    assert value(S.parse_vector, None) == [] and value(S.parse_vector, "{}") == [] and value(S.parse_vector, "[]") == []
+    assert value(S.parse_vector, "vec [1, 2e0] and [3]") == [1.0, 2.0]
+    for bad in ("no vector", "[1, x]", ""):
+        with pytest.raises(Exception):  # noqa: B017
+            value(S.parse_vector, bad)
 
 
 def test_natural_order(spark):

@@ -1,14 +1,17 @@
-"""Removal of repeated passages by hashes of content-defined phrases.
-
-This stands in place of a greedy relative Lempel-Ziv parse against reference blocks;
-"factor" below is a run of phrases met elsewhere. Every document is parsed against all others (and itself) at once. The reference
-index holds phrases: the word windows of one document that agree on their least
-16-word seed form a phrase, so equal passages are cut into equal phrases
-wherever they stand. A phrase that the index holds elsewhere continues a factor;
-all its windows are repeats. Where a factor begins or ends inside a phrase, the
-phrase itself is met nowhere else, but its seed is; at these boundaries the windows are
-looked up one by one. A window of 35 words is repeated if and only if one of the
-two look-ups finds it, as equal windows have the same seed at the same place.
+"""Removal of repeated passages by relative Lempel-Ziv parsing.
+
+The reference is the collection itself, cut into blocks where the content says so: the word windows of one document that
+agree on their least 16-word seed form a block, so equal passages are cut into equal blocks
+wherever they stand. Each block is indexed by a digest of its words; of equal ones the first (by row and place) is the
+reference. Every document is parsed greedily against all indexed blocks: a factor (row, place, length; reference row, its place)
+begins at the first block that the index holds elsewhere and goes on while the next block is found where the reference goes on.
+Where factors begin or end inside a block, the
+block itself is met nowhere else, but its seed is; at these boundaries the windows of 35 words are
+looked up one by one and join the factors. So every factor is long enough (a window at least), and a window is repeated
+if and only if one of the two look-ups finds it, as equal windows have the same seed at the same place.
+
+Equality is that of 128-bit BLAKE2b digests of the words themselves, one space between them; hashes of 64 bits only decide
+where texts are cut and which bucket an entry goes to.
 """
 
 from __future__ import annotations
@@ -20,15 +23,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import Scratch, filter_by, rows_with_uid
-from .text import U, Words, mix, powers, run_starts, slices, text_bytes, window_hashes
+from .buckets import DEALT, bucket_of, buckets_for, dealt, in_buckets
+from .store import Scratch, filter_by, own_uid_aside, rows_with_uid
+from .text import U, Words, mix, run_starts, slices, text_bytes, window_hashes
 
 WINDOW, SEED = 35, 16
-#: Rows gathered by a task before it sends them on.
+#: Entries gathered by a task before it sends them on.
 FLUSH = 1 << 19
 _PLACE = U((1 << 28) - 1)
-#: Kinds of index rows: asks and answers, answers only, or settled in the task that made it.
-ASKS, ANSWERS, SETTLED = 0, 1, 2
+#: What a task's output rows hold: entries of the index, parts of factors (dealt by row), seeds of blocks not met elsewhere, and such blocks whose seed is (dealt by row).
+ENTRIES, FACTORS, SEEDS, SPOTS = 0, 1, 2, 3
+#: States of an entry: only answers others; asks whether it is met; is known to be met.
+ANSWERS, ASKS, MET = 0, 1, 2
+ENTRY = np.dtype([("key", "<u8"), ("check", "<u8"), ("uid", "<i8"), ("at", "<u4"), ("size", "u1"), ("state", "u1"), ("seed", "<u8")])
+#: ``size`` windows of row ``uid`` from word ``at`` on are those of row ``ref`` from ``ref_at`` on; the reference names itself.
+FACTOR = np.dtype([("uid", "<i8"), ("at", "<u4"), ("size", "<u4"), ("ref", "<i8"), ("ref_at", "<u4")])
+SEED_ROW = np.dtype([("seed", "<u8"), ("uid", "<i8"), ("at", "<u4"), ("size", "u1"), ("asks", "?"), ("mark", "?")])
+SPOT = np.dtype([("uid", "<i8"), ("at", "<u4"), ("size", "u1"), ("asks", "?")])
 
 
 def sliding_least(seeds: np.ndarray, width: int) -> np.ndarray:
@@ -42,190 +53,271 @@ def sliding_least(seeds: np.ndarray, width: int) -> np.ndarray:
     return (least & _PLACE).astype(np.int64)
 
 
-def phrases(words: Words) -> tuple[np.ndarray, ...]:
-    """owner (number of the text), first window (from the text's first word), windows, seed and content hash of each phrase."""
+def blocks_of(words: Words) -> tuple[np.ndarray, ...]:
+    """owner (number of the text), first window (from the text's first word), windows, and seed of each block."""
     h, b = words.hashes, words.bounds
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U))
-    if len(h) < WINDOW:
-        return none
-    seeds = window_hashes(h, SEED)
-    place = sliding_least(seeds, WINDOW - SEED + 1)
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U))
     n = np.maximum(np.diff(b) - WINDOW + 1, 0)
     if not n.any():
         return none
+    seeds = window_hashes(h, SEED)
+    place = sliding_least(seeds, WINDOW - SEED + 1)
     owner = np.repeat(np.arange(len(n)), n)
     skip = np.cumsum(n) - n
     at = np.arange(n.sum()) - np.repeat(skip, n) + np.repeat(b[:-1], n)
     own_place = place[at]
-    first = run_starts(own_place)
+    first = np.flatnonzero(np.concatenate(([True], (own_place[1:] != own_place[:-1]) | (owner[1:] != owner[:-1]))))
     size = np.diff(np.append(first, len(own_place)))
     begin, seat = at[first], own_place[first]
-    end = begin + size + WINDOW - 1
-    pw, inv = powers(len(h) + 1)
-    total = np.concatenate((np.zeros(1, U), np.cumsum(h * pw[: len(h)], dtype=U)))
-    content = mix((total[end] - total[begin]) * inv[begin] + (size * 64 + seat - begin).astype(U) * U(0xD6E8FEB86659FD93))
-    return owner[first], begin - b[owner[first]], size, seeds[seat], content
+    return owner[first], begin - b[owner[first]], size, seeds[seat]
+
+
+def digests(words: Words, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(n, 2): two halves of the digest of words[begin:end], by number in ``words``."""
+    raw = words.data.tobytes()
+    starts, ends = words.starts, words.ends
+    odd = np.ones(len(starts) + 1, np.int64)  # words that do not follow the one before after just one space
+    if len(starts):
+        odd[1:-1] = (starts[1:] - ends[:-1] != 1) | (words.data[starts[1:] - 1] != 0x20)
+    total = np.concatenate(([0], np.cumsum(odd)))
+    plain = total[end] == total[begin + 1]
+    out = []
+    for a, b, ok in zip(starts[begin].tolist(), ends[end - 1].tolist(), plain.tolist()):
+        piece = raw[a:b]
+        out.append(hashlib.blake2b(piece if ok else b" ".join(piece.split()), digest_size=16).digest())
+    return np.frombuffer(b"".join(out), U).reshape(-1, 2)
+
+
+def _by(rows: np.ndarray, key: np.ndarray, kind: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """rows dealt out by a 64-bit key."""
+    if len(rows):
+        bucket = bucket_of(key, buckets)
+        order = np.argsort(bucket, kind="stable")
+        yield dealt(bucket[order], rows[order], kind)
+
+
+def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in order, with the reference of each run of equal ones in front of it; where runs start, and their lengths."""
+    rows = rows[np.argsort(np.ascontiguousarray(rows["key"]))]
+    some = run_starts(rows["key"])
+    many = np.diff(np.append(some, len(rows)))
+    met = np.repeat(many > 1, many)
+    own = rows[met]
+    rows[met] = own[np.lexsort((own["at"], own["uid"], own["state"] != ANSWERS, own["check"], own["key"]))]
+    new = np.zeros(len(rows), bool)
+    new[some] = True
+    new[1:] |= rows["check"][1:] != rows["check"][:-1]
+    first = np.flatnonzero(new)
+    return rows, first, np.diff(np.append(first, len(rows)))
+
+
+def _factors(rows: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rows), FACTOR)
+    for c in ("uid", "at", "size"):
+        out[c] = rows[c]
+    out["ref"], out["ref_at"] = lead["uid"], lead["at"]
+    return out
+
+
+class Index:
+    """Entries of a task, sent on in large batches; of those that are equal here one goes on, and the others refer to it."""
+
+    def __init__(self, buckets: int, key_bits: int):
+        self.buckets, self.parts, self.held = buckets, [], 0
+        self.mask = U((1 << 64) - (1 << 64 - key_bits))
+
+    def add(self, digest: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = np.empty(len(digest), ENTRY)
+        rows["key"], rows["check"] = digest[:, 0] & self.mask, digest[:, 1]
+        for name, values in columns.items():
+            rows[name] = values
+        self.parts.append(rows)
+        self.held += len(rows)
+        if self.held >= FLUSH:
+            yield from self.flush()
 
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        rows, first, count = _runs(np.concatenate(self.parts))
+        self.parts, self.held = [], 0
+        lead = np.repeat(first, count)
+        other = np.ones(len(rows), bool)
+        other[first] = False
+        asked = other & (rows["state"] == ASKS)
+        factors = _factors(rows[asked], rows[lead[asked]])
+        yield from _by(factors, mix(factors["uid"].view(U)), FACTORS, self.buckets)
+        met = first[(count > 1) & (rows["state"][first] == ASKS)]
+        rows["state"][met] = MET
+        keep = rows[first]
+        yield dealt(bucket_of(keep["key"], self.buckets), keep)
+
+
+def _block_pass(buckets: int, key_bits: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(buckets, key_bits)
+        for batch in slices(batches):
+            words = Words(*text_bytes(batch.column("text")))
+            owner, at, size, seed = blocks_of(words)
+            begin = words.bounds[owner] + at
+            ids = batch.column("_uid").to_numpy()
+            yield from index.add(digests(words, begin, begin + size + WINDOW - 1), uid=ids[owner], at=at, size=size, state=np.full(len(at), ASKS), seed=seed)
+        yield from index.flush()
 
-class Gathered:
-    """Index rows (key, uid, at, size, kind, extra) of a task, sent on in large batches.
+    return work
 
-    Rows of one key that meet here are settled here: each asking one is a repeat, and one
-    answering row goes on for them all. So no key has more rows than there are tasks.
-    """
 
-    names = ("key", "uid", "at", "size", "kind", "extra")
+def _window_pass(buckets: int, key_bits: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows of the boundary blocks."""
+        index = Index(buckets, key_bits)
+        for batch in slices(batches):
+            words = Words(*text_bytes(batch.column("text")))
+            for i, (uid, raw) in enumerate(zip(batch.column("_uid").to_pylist(), batch.column("spots").to_pylist())):
+                spots = np.frombuffer(raw, SPOT)
+                size = spots["size"].astype(np.int64)
+                at = np.repeat(spots["at"].astype(np.int64), size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                begin = words.bounds[i] + at
+                yield from index.add(digests(words, begin, begin + WINDOW), uid=uid, at=at, size=1, state=np.where(np.repeat(spots["asks"], size), ASKS, ANSWERS), seed=0)
+        yield from index.flush()
 
-    def __init__(self):
-        self.parts, self.held = [], 0
+    return work
 
-    def add(self, *columns: np.ndarray) -> None:
-        if len(columns[0]):
-            self.parts.append(columns)
-            self.held += len(columns[0])
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.held:
+def _meet_work(buckets: int, seeds: bool):
+    def work(_: int, held: list) -> Iterator[pa.RecordBatch]:
+        """Equal entries refer to the first of them; with ``seeds``, distinct ones go on by their seeds."""
+        for kind, _base, payload in held:
+            if kind == FACTORS:
+                rows = np.frombuffer(payload, FACTOR)
+                yield from _by(rows, mix(rows["uid"].view(U)), FACTORS, buckets)
+        rows = [np.frombuffer(payload, ENTRY) for kind, _base, payload in held if kind == ENTRIES]
+        if not rows:
             return
-        key, uid, at, size, kind, extra = (np.concatenate(c) for c in zip(*self.parts))
-        self.parts, self.held = [], 0
-        order = np.argsort(key)
-        first = run_starts(key[order])
-        count = np.diff(np.append(first, len(key)))
-        met = np.zeros(len(key), bool)
-        met[order] = np.repeat(count > 1, count)
-        settled = met & (kind == ASKS)
-        lead = order[first[count > 1]]
-        keep = ~met
-        keep[lead] = True
-        out_kind = kind.copy()
-        out_kind[lead] = ANSWERS
-        for mask, kinds, keys in ((keep, out_kind, key), (settled, np.full(len(key), SETTLED, np.int8), mix(uid.view(U) + at.view(U)))):
-            if mask.any():
-                yield pa.RecordBatch.from_arrays([pa.array(keys[mask].view(np.int64)), *(pa.array(c[mask]) for c in (uid, at, size, kinds)), pa.array(extra[mask].view(np.int64))], self.names)
-
-
-_INDEX = "key long, uid long, at long, size short, kind byte, extra long"
-
-
-def _phrase_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = Gathered()
-    for batch in slices(batches):
-        owner, at, size, seed, content = phrases(Words(*text_bytes(batch.column("text"))))
-        ids = batch.column("_uid").to_numpy()
-        out.add(content, ids[owner], at, size.astype(np.int16), np.full(len(at), ASKS, np.int8), seed)
-        if out.held >= FLUSH:
-            yield from out.flush()
-    yield from out.flush()
-
-
-def _window_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of the boundary phrases; texts come with lists at, size and asks."""
-    out = Gathered()
-    for batch in slices(batches):
-        words = Words(*text_bytes(batch.column("text")))
-        windows = window_hashes(words.hashes, WINDOW)
-        spots = batch.column("spots")
-        edge = spots.offsets.to_numpy()
-        at, size, asks = (spots.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        lo, hi = edge[0], edge[-1]
-        at, size, asks = at[lo:hi], size[lo:hi].astype(np.int64), asks[lo:hi]
-        owner = np.repeat(np.arange(batch.num_rows), np.diff(edge))
-        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        pos, who = np.repeat(at, size) + step, np.repeat(owner, size)
-        uid = batch.column("_uid").to_numpy()[who]
-        kind = np.where(np.repeat(asks, size), ASKS, ANSWERS).astype(np.int8)
-        out.add(windows[words.bounds[who] + pos], uid, pos, np.ones(len(pos), np.int16), kind, np.zeros(len(pos), U))
-        if out.held >= FLUSH:
-            yield from out.flush()
-    yield from out.flush()
-
-
-def _meet_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of key -> the same columns, kind SETTLED for each repeat, else one row for each key (of those met twice, ANSWERS)."""
-    held = None
-    for batch in batches:
-        now = [batch.column(c).to_numpy() for c in Gathered.names]
-        settled = now[4] == SETTLED
-        if settled.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[settled]) for c in now], Gathered.names)
-            now = [c[~settled] for c in now]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now)]
-        made, held = _met(now, False)
-        yield from made
-    if held is not None:
-        yield from _met(held, True)[0]
-
-
-def _met(columns: list[np.ndarray], last: bool) -> tuple[list[pa.RecordBatch], list[np.ndarray]]:
-    key, _, _, _, kind, _ = columns
-    first = run_starts(key)
-    if len(first) == 0:
-        return [], columns
-    count = np.diff(np.append(first, len(key)))
-    done = np.ones(len(key), bool)
-    repeat = np.repeat(count > 1, count) & (kind == ASKS)
-    lone = first[count == 1]
-    lead = first[count > 1]
-    rest = [c[:0] for c in columns]
+        rows, first, count = _runs(np.concatenate(rows))
+        shared = np.repeat(count > 1, count)
+        told = (rows["state"] == MET) | (shared & (rows["state"] == ASKS))
+        factors = _factors(rows[told], rows[np.repeat(first, count)[told]])
+        yield from _by(factors, mix(factors["uid"].view(U)), FACTORS, buckets)
+        if not seeds:
+            return
+        lead = rows[first]
+        out = np.zeros(len(lead), SEED_ROW)
+        for c in ("seed", "uid", "at", "size"):
+            out[c] = lead[c]
+        out["asks"] = ~told[first]
+        # blocks whose seed is met here are settled here, but for a mark
+        out = out[np.argsort(out["seed"], kind="stable")]
+        yield from _settled_seeds(out, buckets)
+
+    return work
+
+
+def _spots(rows: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rows), SPOT)
+    for c in SPOT.names:
+        out[c] = rows[c]
+    return out
+
+
+def _settled_seeds(rows: np.ndarray, buckets: int, last: bool = False) -> Iterator[pa.RecordBatch]:
+    """rows: in order of seed. Blocks whose seed another block has too are spots; else the block goes on, unless this is the last task to see its seed."""
+    first = run_starts(rows["seed"])
+    if not len(first):
+        return
+    count = np.diff(np.append(first, len(rows)))
+    shared = (count > 1) | np.logical_or.reduceat(rows["mark"], first)
+    spots = _spots(rows[np.repeat(shared, count) & ~rows["mark"]])
+    yield from _by(spots, mix(spots["uid"].view(U)), SPOTS, buckets)
     if not last:
-        k = first[-1]
-        done[k:] = False
-        if count[-1] > 1:  # the asking ones are settled now; one answering row goes on
-            done[k:] = repeat[k:]
-            lead = lead[:-1]
-            rest = [c[k : k + 1].copy() for c in columns]
-            rest[4][:] = ANSWERS
-        else:
-            lone = lone[:-1]
-            rest = [c[k:] for c in columns]
-    out = []
-    for rows, mark in ((np.flatnonzero(repeat & done), SETTLED), (lead, ANSWERS), (lone, None)):
-        if len(rows):
-            cols = [c[rows] for c in columns]
-            if mark is not None:
-                cols[4] = np.full(len(rows), mark, np.int8)
-            out.append(pa.RecordBatch.from_arrays([pa.array(c) for c in cols], Gathered.names))
-    return out, rest
+        rest = rows[first]
+        rest["mark"] = shared
+        yield from _by(rest, rest["seed"], SEEDS, buckets)
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
-    """docs (with ``_uid``) -> (_uid, spans array<struct<at, size>>): the windows (by first word) whose words also start elsewhere."""
-    texts = docs.select("_uid", F.coalesce(text_col, F.lit("")).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _seed_work(buckets: int):
+    def work(_: int, held: list) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate([np.frombuffer(payload, SEED_ROW) for _kind, _base, payload in held])
+        yield from _settled_seeds(rows[np.argsort(rows["seed"], kind="stable")], buckets, last=True)
 
-    def meet(df: DataFrame) -> DataFrame:
-        return df.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet_pass, _INDEX)
+    return work
 
-    index = scratch.table(meet(texts.mapInArrow(_phrase_pass, _INDEX)), "phrases")
-    scratch.tidy()
-    factors = index.where(f"kind = {SETTLED}").select("uid", "at", "size")
-    loose = index.where(f"kind <> {SETTLED}")
-    shared = loose.groupBy("extra").agg(F.count("*").alias("n")).where("n > 1").select("extra")
-    edges = loose.join(shared, "extra", "left_semi").groupBy(F.col("uid").alias("_uid")).agg(F.collect_list(F.struct("at", "size", (F.col("kind") == ASKS).alias("asks"))).alias("spots"))
-    edges = scratch.table(edges, "edges")
+
+def _each_row(rows: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
+    """rows, in order of uid -> one record for each uid with its rows as bytes."""
+    first = run_starts(rows["uid"])
+    if len(first):
+        edge = np.append(first, len(rows))
+        yield pa.RecordBatch.from_arrays([pa.array(rows["uid"][first].copy()), pa.array([rows[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.binary())], ["_uid", name])
+
+
+def _spot_work(_: int, held: list) -> Iterator[pa.RecordBatch]:
+    rows = np.concatenate([np.frombuffer(payload, SPOT) for _kind, _base, payload in held])
+    yield from _each_row(rows[np.lexsort((rows["at"], rows["uid"]))], "spots")
+
+
+def parse(rows: np.ndarray) -> np.ndarray:
+    """Parts of factors -> whole factors: a part goes on the factor before it where that one's reference goes on."""
+    rows = rows[np.lexsort((rows["at"], rows["uid"]))]
+    before, now = rows[:-1], rows[1:]
+    on = (before["uid"] == now["uid"]) & (before["at"] + before["size"] == now["at"]) & (before["ref"] == now["ref"]) & (before["ref_at"] + before["size"] == now["ref_at"])
+    first = np.flatnonzero(np.concatenate(([True], ~on)))
+    out = rows[first]
+    out["size"] = np.add.reduceat(rows["size"], first)
+    return out
+
+
+def _parse_work(_: int, held: list) -> Iterator[pa.RecordBatch]:
+    yield from _each_row(parse(np.concatenate([np.frombuffer(payload, FACTOR) for _kind, _base, payload in held])), "factors")
+
+
+def parsed(docs: DataFrame, scratch: Scratch, text_col: str = "text", key_bits: int = 64) -> DataFrame:
+    """docs (with ``_uid``) -> (_uid, factors): the factors of each row that has any, as bytes of FACTOR records.
+
+    Entries meet by the first ``key_bits`` bits of their digests (at most 64) and are told apart by the whole of them.
+    """
+    texts = docs.select("_uid", F.coalesce(text_col, F.lit("")).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = buckets_for(size // 40, docs)  # a block takes 40 bytes of text at least
+    index = scratch.table(in_buckets(texts.mapInArrow(_block_pass(parts, key_bits), DEALT), parts, _meet_work(parts, True), DEALT), "blocks")
     scratch.tidy()
-    some = filter_by(texts, edges.select("_uid"), "left_semi").join(edges, "_uid")
-    found = scratch.table(meet(some.select("_uid", "text", "spots").mapInArrow(_window_pass, _INDEX)).where(f"kind = {SETTLED}").select("uid", "at", "size"), "windows")
-    spans = factors.unionByName(found).groupBy(F.col("uid").alias("_uid")).agg(F.collect_list(F.struct("at", "size")).alias("spans"))
-    spans = scratch.table(spans, "spans")
+    by_seed = in_buckets(index.where(f"kind = {SEEDS}"), parts, _seed_work(parts), DEALT)
+    spots = scratch.table(in_buckets(by_seed.unionByName(index.where(f"kind = {SPOTS}")), parts, _spot_work, "_uid long, spots binary"), "spots")
+    some = filter_by(texts, spots.select("_uid"), "left_semi").join(spots, "_uid")
+    found = scratch.table(in_buckets(some.mapInArrow(_window_pass(parts, key_bits), DEALT), parts, _meet_work(parts, False), DEALT), "windows")
+    out = scratch.table(in_buckets(found.unionByName(index.where(f"kind = {FACTORS}")), parts, _parse_work, "_uid long, factors binary"), "factors")
+    scratch.drop(index, spots, found)
     scratch.tidy()
-    return spans
+    return out
+
+
+def factors_of(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The parse as rows: id, at, words, ref (id of the row referred to, itself for a reference) and ref_at; places count words from 0."""
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("factors").to_pylist():
+                r = np.frombuffer(raw, FACTOR)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (r["uid"], r["at"], r["size"] + np.int64(WINDOW - 1), r["ref"], r["ref_at"])], ["_uid", "at", "words", "_ref", "ref_at"])
+
+    docs = rows_with_uid(docs, scratch, id_col)
+    names = docs.select("_uid", F.col(id_col).alias("_id"))
+    made = parsed(docs, scratch, text_col).mapInArrow(rows_of, "_uid long, at long, words long, _ref long, ref_at long")
+    made = made.join(names, "_uid").withColumnRenamed("_id", id_col).join(names.toDF("_ref", "ref"), "_ref")
+    return made.select(id_col, "at", "words", "ref", "ref_at")
 
 
 def _cut_pass(with_text: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            spans = batch.column("spans") if "spans" in batch.schema.names else None
+            factors = batch.column("factors").to_pylist() if "factors" in batch.schema.names else None
             raw = batch.column("text").cast(pa.large_binary()).to_pylist()
             n_words, n_removed, out = [], [], []
             for i, text in enumerate(raw):
                 words = text.split()
                 total = len(words)
-                if spans is not None:
-                    own = spans[i].values
-                    at, size = own.field(0).to_numpy(), own.field(1).to_numpy().astype(np.int64)
+                if factors is not None:
+                    own = np.frombuffer(factors[i], FACTOR)
+                    at, size = own["at"].astype(np.int64), own["size"].astype(np.int64)
                     cover = np.zeros(total + 1, np.int64)
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + size + WINDOW - 1, -1)
@@ -243,7 +335,7 @@ def _cut_pass(with_text: bool):
 _CUT = "_uid long, n_words long, n_removed long, kept string"
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 for each row of docs.
 
     A word goes if it is covered by a window of 35 words whose words, in order, also start anywhere
@@ -252,10 +344,10 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     table; no other column is read.
     """
     docs = rows_with_uid(docs, scratch, id_col)
-    spans = repeated_spans(docs, scratch, text_col)
+    factors = parsed(docs, scratch, text_col, key_bits)
     texts = docs.select("_uid", F.coalesce(text_col, F.lit("")).alias("text"))
-    cut = filter_by(texts, spans.select("_uid"), "left_semi").join(spans, "_uid").select("_uid", "text", "spans").mapInArrow(_cut_pass(False), _CUT)
-    rest = filter_by(texts, spans.select("_uid"), "left_anti").mapInArrow(_cut_pass(False), _CUT)
+    cut = filter_by(texts, factors.select("_uid"), "left_semi").join(factors, "_uid").select("_uid", "text", "factors").mapInArrow(_cut_pass(False), _CUT)
+    rest = filter_by(texts, factors.select("_uid"), "left_anti").mapInArrow(_cut_pass(False), _CUT)
     out = cut.unionByName(rest)
     if dict(docs.dtypes)[id_col] == "bigint" and not docs.where(f"not (`{id_col}` <=> _uid)").take(1):
         return out.select(F.col("_uid").alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
@@ -263,12 +355,17 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
 
 
 def cut_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated words gone from their texts (the kept words joined by one space; other texts as they were)."""
+    """docs with the repeated words gone from their texts (the kept words joined by one space; other texts as they were).
+
+    Every row stays, with its columns and their order; a column n_chars follows the text. Null, empty and short texts and texts without repeats are
+    as they were; wholly equal rows repeat each other, and null or repeated ids do no harm. An empty table gives an empty table.
+    """
+    docs, back = own_uid_aside(docs)
     docs = rows_with_uid(docs, scratch, id_col)
-    spans = repeated_spans(docs, scratch, text_col)
+    factors = parsed(docs, scratch, text_col)
     texts = docs.select("_uid", F.coalesce(text_col, F.lit("")).alias("text"))
-    cut = filter_by(texts, spans.select("_uid"), "left_semi").join(spans, "_uid").select("_uid", "text", "spans").mapInArrow(_cut_pass(True), _CUT).select("_uid", "kept")
-    touched = filter_by(docs, spans.select("_uid"), "left_semi").drop(text_col).join(cut.withColumnRenamed("kept", text_col), "_uid")
+    cut = filter_by(texts, factors.select("_uid"), "left_semi").join(factors, "_uid").select("_uid", "text", "factors").mapInArrow(_cut_pass(True), _CUT).select("_uid", "kept")
+    touched = filter_by(docs, factors.select("_uid"), "left_semi").drop(text_col).join(cut.withColumnRenamed("kept", text_col), "_uid")
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.length(text_col).cast(dict(docs.dtypes)["n_chars"]))
-    return touched.select(docs.columns).unionByName(filter_by(docs, spans.select("_uid"), "left_anti")).drop("_uid")
+    return back(touched.select(docs.columns).unionByName(filter_by(docs, factors.select("_uid"), "left_anti")))

@@ -45,7 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage over all that the one before kept, each written to the shared folder and read again."""
+    """Every stage over all that the one before kept, each written to the shared folder and read again.
+
+    Null texts count as empty: the classifier scores them, the exact stage keeps one of them, and they get one piece with just the end id. Rows with
+    null or repeated ids are rows of their own. All but the last stage give back the columns of documents, further ones included. Empty tables give an
+    empty table.
+    """
     docs, scratch = read_table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for name, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), name)

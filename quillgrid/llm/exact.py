@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import Scratch, filter_by, rows_with_uid
+from .store import Scratch, filter_by, own_uid_aside, rows_with_uid
 
-#: Characters of a block.
-BLOCK_CHARS = 4096
+#: Bytes of a block.
+BLOCK_BYTES = 4096
 
 
 def _names(keys: DataFrame, by: list[str]) -> DataFrame:
@@ -19,21 +19,18 @@ def _names(keys: DataFrame, by: list[str]) -> DataFrame:
     return keys.select(*by).distinct().sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
-def name_blocks(rows: DataFrame, scratch: Scratch, block_chars: int = BLOCK_CHARS, route: Column | None = None) -> DataFrame:
+def name_blocks(rows: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES, route: Column | None = None) -> DataFrame:
     """(_uid, _text) -> (_uid, pos, n_blocks, name): each fixed-size block under its integer name.
 
     Block texts are sorted and compared in full, once; they are brought
     back to their rows through a 64-bit route. Where two different blocks share
     a route (which is checked), that route's rows are joined on the text itself.
     """
-    n = F.greatest(F.lit(1), F.ceil(F.length("_text") / block_chars)).cast("int")
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length("_text") / block_bytes)).cast("int")
     route = F.xxhash64("block") if route is None else route
-    blocks = (
-        rows.withColumn("n_blocks", n)
-        .select("_uid", "n_blocks", "_text", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("pos"))
-        .select("_uid", "n_blocks", "pos", F.expr(f"substring(_text, pos * {block_chars} + 1, {block_chars})").alias("block"))
-        .withColumn("route", route)
-    )
+    # cut as bytes, whose places are known without a walk from the start of the text; each byte is copied once
+    cut = F.expr(f"transform(sequence(0, n_blocks - 1), p -> substring(cast(_text as binary), p * {block_bytes} + 1, {block_bytes}))")
+    blocks = rows.withColumn("n_blocks", n).select("_uid", "n_blocks", F.posexplode(cut).alias("pos", "block")).withColumn("route", route)
     names = scratch.table(_names(blocks, ["route", "block"]).select("route", "name"), "blocknames")
     shared = names.groupBy("route").count().where("count > 1").select("route")
     plain = blocks.select("_uid", "n_blocks", "pos", "route").join(names.select("route", "name"), "route")
@@ -47,7 +44,7 @@ def name_blocks(rows: DataFrame, scratch: Scratch, block_chars: int = BLOCK_CHAR
     return alone.select("_uid", "pos", "n_blocks", "name").unionByName(exact.select("_uid", "pos", "n_blocks", "name"))
 
 
-def identities(rows: DataFrame, scratch: Scratch, block_chars: int = BLOCK_CHARS, route: Column | None = None) -> DataFrame:
+def identities(rows: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES, route: Column | None = None) -> DataFrame:
     """(_uid, _text) -> (_uid, n_blocks, name): equal (n_blocks, name) if and only if the texts are equal.
 
     Level by level, adjacent names are paired and the distinct pairs named by
@@ -55,7 +52,7 @@ def identities(rows: DataFrame, scratch: Scratch, block_chars: int = BLOCK_CHARS
     many levels as it needs; the number of levels is the logarithm of the longest
     text's blocks.
     """
-    now = scratch.table(name_blocks(rows, scratch, block_chars, route), "level0")
+    now = scratch.table(name_blocks(rows, scratch, block_bytes, route), "level0")
     done = now.where("n_blocks = 1").select("_uid", "n_blocks", "name")
     most = now.agg(F.max("n_blocks")).first()[0] or 1
     now, width = now.where("n_blocks > 1"), 1
@@ -76,7 +73,7 @@ def identities(rows: DataFrame, scratch: Scratch, block_chars: int = BLOCK_CHARS
     return done
 
 
-def exact_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, route: Column | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, route: Column | None = None) -> DataFrame:
     """docs (with ``_uid``, see rows_with_uid) -> (_uid, keep_uid, keep_id, group_size), one row for each row.
 
     Texts are equal when identical; null counts as empty. Of a group the row with
@@ -85,7 +82,7 @@ def exact_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     sizes are summed before the shuffle and go back by a join that can be split.
     """
     rows = docs.select("_uid", F.coalesce(text_col, F.lit("")).alias("_text"))
-    named = identities(rows, scratch, block_chars, route).join(docs.select("_uid", F.col(id_col).alias("_id")), "_uid")
+    named = identities(rows, scratch, block_bytes, route).join(docs.select("_uid", F.col(id_col).alias("_id")), "_uid")
     named = scratch.table(named, "identities")
     groups = scratch.table(named.groupBy("n_blocks", "name").agg(F.max(F.struct("_id", "_uid")).alias("keep"), F.count("*").alias("group_size")), "groups")
     return named.join(groups, ["n_blocks", "name"]).select("_uid", F.col("keep._uid").alias("keep_uid"), F.col("keep._id").alias("keep_id"), "group_size")
@@ -101,7 +98,11 @@ def exact_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
 
 
 def drop_copies(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one of the rows with equal texts; the columns stay."""
+    """docs without all but one of the rows with equal texts; the columns stay.
+
+    Null counts as empty; the row with the largest id stays (null is less than any id), of wholly equal rows just one. An empty table gives an empty table.
+    """
+    docs, back = own_uid_aside(docs)
     docs = rows_with_uid(docs, scratch, id_col)
     gone = exact_groups(docs, scratch, id_col, text_col).where("_uid <> keep_uid").select("_uid")
-    return filter_by(docs, scratch.table(gone, "gone"), "left_anti").drop("_uid")
+    return back(filter_by(docs, scratch.table(gone, "gone"), "left_anti"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,9 +15,11 @@ BROADCAST_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only if unset."""
+    """The folder named by spark.checkpoint.dir; if that is unset, a temporary one in local mode and an error on a cluster, where no machine's folder is shared."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='quillgrid-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -76,6 +80,18 @@ def rows_with_uid(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id") ->
     return scratch.table(docs.withColumn("_uid", F.monotonically_increasing_id()), "numbered")
 
 
+def own_uid_aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with a column ``_uid`` of its own under a free name, and what makes a result's columns those of docs again."""
+    names = docs.columns
+    taken = {c.lower() for c in names}
+    if "_uid" not in taken:
+        return docs, lambda out: out.drop("_uid")
+    own, free = next(c for c in names if c.lower() == "_uid"), "_own_uid"
+    while free in taken:
+        free += "_"
+    return docs.withColumnRenamed(own, free), lambda out: out.drop("_uid").withColumnRenamed(free, own).select(names)
+
+
 def filter_by(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join of df on ``_uid``: a broadcast for a counted, short list, else a shuffle."""
     n = ids.limit(BROADCAST_IDS + 1).count()

@@ -8,18 +8,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .labels import fold, labelled, sample, sigmoid
+from .labels import fold, sample, sigmoid
 from .store import Scratch
-from .text import U, Words, mix, run_starts, slices, text_bytes
+from .text import U, Words, give_back, mix, run_starts, slices, text_bytes
 
-#: Labelled rows that the model is fitted on, at most; segments used of a toxic one and of another; words used of any.
-SAMPLE, SEGMENTS, CLEAN_SEGMENTS, TRAIN_WORDS = 5_000, 256, 16, 16_384
+#: Labelled rows that the model is fitted on, at most, and bytes of all their texts, which are used whole.
+SAMPLE, TRAIN_BYTES = 5_000, 32 << 20
 #: Words of a segment, and the most toxic segments by which a text is scored.
 SEGMENT, TOP = 6, 4
-#: Part of the sample (one in so many) that is kept for the curve from segments to texts.
+#: Parts of the sample, each scored by a model of the others for the curve from segments to texts.
 CURVE = 4
 BUCKETS, DIM, NGRAMS = 1 << 18, 8, (3, 4, 5, 6, 7, 8)
 ROUNDS, EPOCHS, RATE, DECAY = 3, 20, 0.15, 1e-6
+#: Weight of the segments that count as toxic, as a part of that of the clean ones.
+PART = 0.2
 #: Subwords met in fewer of the texts say nothing.
 LEAST_TEXTS = 8
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
@@ -114,38 +116,44 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
 
 
 def fit(texts: pa.Array, y: np.ndarray, seed: int = 5) -> Toxic:
-    """Joint training of embeddings and softmax on segments.
-
-    Only whole texts have labels: in the first round every segment of a toxic text counts as toxic, with
-    little weight; in later rounds the one that the model finds most toxic. Every segment of the others is clean.
-    """
+    """A model of all texts. The curve from segments to texts is fitted on what models of the other parts make of each of CURVE parts, if all of these have both classes."""
     share = min(max(y.mean() if len(y) else 0.5, 1e-3), 1 - 1e-3)
+    model = Toxic(np.zeros(BUCKETS), 0.0, np.append(np.zeros(TOP + 1), np.log(share / (1 - share))))
     if len(y) == 0 or y.min() == y.max():
-        return Toxic(np.zeros(BUCKETS), 0.0, np.append(np.zeros(TOP + 1), np.log(share / (1 - share))))
+        return model
+    part = np.random.default_rng(seed).integers(0, CURVE, len(y))
+    model = fit_segments(texts, y, share, seed) or model
+    if all(len(set(y[part == k])) == 2 and len(set(y[part != k])) == 2 for k in range(CURVE)):
+        pooled = np.empty((len(y), TOP + 2))
+        for k in range(CURVE):
+            other = fit_segments(texts.filter(pa.array(part != k)), y[part != k], share, seed) or model
+            pooled[part == k] = other.pooled(texts.filter(pa.array(part == k)))
+    else:
+        pooled = model.pooled(texts)
+    used = np.arange(TOP + 2)
+    while True:  # a more toxic segment never makes a text less toxic
+        w = logistic(pooled[:, used], y)
+        against = (used < TOP) & (w < 0)
+        if not against.any():
+            break
+        used = used[~against]
+    model.curve = np.zeros(TOP + 2)
+    model.curve[used] = w
+    return model
+
+
+def fit_segments(texts: pa.Array, y: np.ndarray, share: float, seed: int) -> Toxic | None:
+    """Joint training of embeddings and softmax on segments, without the curve; None if no subword is in LEAST_TEXTS texts.
+
+    Only whole texts have labels: in the first round every segment of a toxic text counts as toxic; in
+    later rounds the one that the model finds most toxic. Every segment of the others is clean.
+    """
     rng = np.random.default_rng(seed)
-    kept = rng.random(len(y)) < 1 / CURVE if len(y) >= 200 else np.ones(len(y), bool)
-    if not 0 < y[kept].mean() < 1:
-        kept = np.ones(len(y), bool)
-    all_texts, all_y = texts, y
-    if not kept.all() and 0 < y[~kept].mean() < 1:
-        texts, y = texts.filter(pa.array(~kept)), y[~kept]
     words, first, owner = segmented(texts)
+    if len(first) == 0:
+        return None
     size = np.diff(np.append(first, len(words.hashes)))
-    # a bounded number of segments of each text, chosen at random
-    draw = rng.random(len(first))
-    order = np.lexsort((draw, owner))
-    rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-    chosen = np.sort(order[rank < np.where(y[owner[order]] > 0, SEGMENTS, CLEAN_SEGMENTS)])
-    first, size, owner = first[chosen], size[chosen], owner[chosen]
     place, number = distinct_words(words)
-    at = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    # numpy.unique without its hash table
-    picked = number[at]
-    by = np.argsort(picked)
-    lead = run_starts(picked[by])
-    used, number = picked[by][lead], np.empty(len(by), np.int64)
-    number[by] = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(by))))
-    place = place[used]
     sub, bounds = subwords(words.data, words.starts[place], words.ends[place])
     n_sub = np.diff(bounds)
     sub_word = np.repeat(np.arange(len(place)), n_sub)
@@ -156,6 +164,8 @@ def fit(texts: pa.Array, y: np.ndarray, seed: int = 5) -> Toxic:
     keep = common[sub]
     sub, sub_word = sub[keep], sub_word[keep]
     has = np.bincount(sub_word, minlength=len(place)) > 0
+    if not has.any():
+        return None
     renumber = np.cumsum(has) - 1
     sub_word, n_sub, word_on = renumber[sub_word], n_sub[has], has[number]
     seg_word = np.repeat(np.arange(len(size)), size)[word_on]
@@ -163,73 +173,71 @@ def fit(texts: pa.Array, y: np.ndarray, seed: int = 5) -> Toxic:
     bounds = np.searchsorted(sub_word, np.arange(len(n_sub)))
     seg_first = run_starts(seg_word)
     seg_full = seg_word[seg_first]
-    order = np.argsort(sub, kind="stable")
-    sub_sorted, sub_first = sub[order], run_starts(sub[order])
-    by_word = np.argsort(number, kind="stable")
-    word_first = run_starts(number[by_word])
-    word_full = number[by_word][word_first]
-    e = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+    met = np.bincount(sub, minlength=BUCKETS) > 0
+    sub = (np.cumsum(met) - 1)[sub]
+    e = rng.normal(0, 0.1, (int(met.sum()), DIM)).astype(np.float32)
     w, bias = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.log(np.array([1 - share, share], np.float32))
     params = [e, w, bias]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     toxic = y[owner] > 0
-    target, weight, step = toxic.astype(np.float32), np.where(toxic, 0.3, 1.0), 0
+    # the toxic segments weigh together as much as a fixed part of the clean ones, however long the texts are
+    weighed = lambda chosen: PART * max((~toxic).sum(), 1) / max(chosen.sum(), 1) * chosen + ~toxic
+    target, weight, step = toxic.astype(np.float32), weighed(toxic), 0
     for turn in range(ROUNDS):
         if turn:
             # the most toxic segment stands for its text, the text's others are left out
             top = np.lexsort((-logit, owner))  # noqa: F821
             lead = np.zeros(len(owner), bool)
             lead[top[run_starts(owner[top])]] = True
-            weight = np.where(toxic, np.where(lead, 5.0, 0.0), 1.0)
+            weight = weighed(toxic & lead)
         for _ in range(EPOCHS):
-            vec = np.add.reduceat(e[sub], bounds) / n_sub[:, None]
-            bag = np.zeros((len(size), DIM), np.float32)
-            bag[seg_full] = np.add.reduceat(vec[number], seg_first) / size[seg_full, None]
-            z = bag @ w + bias
-            p1 = sigmoid(z[:, 1] - z[:, 0])
-            logit = z[:, 1] - z[:, 0]
-            d = ((p1 - target) * weight / weight.sum()).astype(np.float32)
-            dz = np.stack((-d, d), 1)
-            gbag = (dz @ w.T) / size[:, None]
-            gvec = np.zeros((len(n_sub), DIM), np.float32)
-            gvec[word_full] = np.add.reduceat(gbag[seg_word[by_word]], word_first) / n_sub[word_full, None]
-            ge = np.zeros_like(e)
-            ge[sub_sorted[sub_first]] = np.add.reduceat(gvec[sub_word[order]], sub_first)
-            grads = [ge + DECAY * e, bag.T @ dz + DECAY * w, dz.sum(0)]
+            # two classes: all that a word or a subword adds to logits and gradients lies along this one direction
+            toward = w[:, 1] - w[:, 0]
+            value = np.add.reduceat((e @ toward)[sub], bounds) / n_sub
+            logit = np.full(len(size), bias[1] - bias[0])
+            logit[seg_full] += np.add.reduceat(value[number], seg_first) / size[seg_full]
+            d = (sigmoid(logit) - target) * weight / weight.sum()
+            by_word = np.bincount(number, (d / size)[seg_word], len(n_sub))
+            by_sub = np.bincount(sub, (by_word / n_sub)[sub_word], len(e)).astype(np.float32)
+            along = by_sub @ e
+            grads = [by_sub[:, None] * toward + DECAY * e, np.stack((-along, along), 1) + DECAY * w, np.array([-d.sum(), d.sum()])]
             step += 1
             for k in range(3):
                 m1[k] = 0.9 * m1[k] + 0.1 * grads[k]
                 m2[k] = 0.99 * m2[k] + 0.01 * grads[k] ** 2
                 params[k] -= (RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    model = Toxic((e @ (w[:, 1] - w[:, 0])) * common, float(bias[1] - bias[0]), np.zeros(TOP + 2))
-    pooled, used = model.pooled(all_texts.filter(pa.array(kept))), np.arange(TOP + 2)
-    while True:  # a more toxic segment never makes a text less toxic
-        w = logistic(pooled[:, used], all_y[kept])
-        against = (used < TOP) & (w < 0)
-        if not against.any():
-            break
-        used = used[~against]
-    model.curve[used] = w
-    return model
+    bucket = np.zeros(BUCKETS, np.float32)
+    bucket[met] = e @ (w[:, 1] - w[:, 0])
+    return Toxic(bucket, float(bias[1] - bias[0]), np.zeros(TOP + 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE) -> Toxic:
-    """A model from at most ``bound`` labelled rows outside the held-out fold; of each text, at most TRAIN_WORDS words come to the driver."""
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of a very long text, segments spread over the whole of it
-        for batch in slices(batches):
-            out = []
-            for text in batch.column("text").cast(pa.large_binary()).to_pylist():
-                words = text.split()
-                if len(words) > TRAIN_WORDS:
-                    n = TRAIN_WORDS // SEGMENT
-                    words = [w for k in range(n) for w in words[k * len(words) // n :][:SEGMENT]]
-                out.append(b" ".join(words).decode(errors="replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.string())], ["label", "text"])
-
-    rows = labelled(docs, sample(labels, "toxic", FOLDS, HELD_OUT, bound, id_col), scratch, id_col, text_col)
-    got = rows.mapInArrow(some, "label int, text string").toArrow().sort_by([("text", "ascending"), ("label", "ascending")])
-    return fit(got["text"].combine_chunks(), got["label"].to_numpy().astype(float))
+def _fit_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows (label, text) -> the one model that they give, whatever their order."""
+    batches = [b for b in batches if b.num_rows]
+    rows = pa.Table.from_batches(batches) if batches else pa.table({"label": pa.array([], pa.int32()), "text": pa.array([], pa.string())})
+    rows = rows.sort_by([("text", "ascending"), ("label", "ascending")])
+    model = fit(rows["text"].combine_chunks(), rows["label"].to_numpy().astype(float))
+    yield pa.RecordBatch.from_arrays([pa.array([model.bucket.tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.curve.tolist()], pa.list_(pa.float64()))], ["bucket", "bias", "curve"])
+    give_back()
+
+
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE, most_bytes: int = TRAIN_BYTES) -> Toxic:
+    """A model from labelled rows outside the held-out fold: in the order of a hash of the id, at most ``bound`` of them and as many as have ``most_bytes`` of text together.
+
+    Their texts are used whole, by one task on an executor; the model comes back (1 MB). A row whose text alone exceeds ``most_bytes`` is left out.
+    """
+    picked = scratch.table(sample(labels, "toxic", FOLDS, HELD_OUT, bound, id_col), "sample")
+    rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(picked), id_col)
+    rows = scratch.table(rows.select(F.xxhash64(id_col).alias("h"), "label", "text", F.octet_length("text").alias("size")), "labelled")
+    upto, total = None, 0
+    for r in rows.groupBy("h").agg(F.sum("size").alias("size")).orderBy("h").collect():  # a row for each id of the sample
+        total += r["size"]
+        if total > most_bytes:
+            break
+        upto = r["h"]
+    rows = rows.where(F.lit(False) if upto is None else F.col("h") <= upto)
+    got = rows.select("label", "text").coalesce(1).mapInArrow(_fit_pass, "bucket binary, bias double, curve array<double>").first()
+    return Toxic(np.frombuffer(got["bucket"], np.float32), got["bias"], np.array(got["curve"])) if got else fit(pa.array([], pa.string()), np.zeros(0))
 
 
 def score_toxicity(docs: DataFrame, model: Toxic, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,11 +10,13 @@ import pytest
 pytest.importorskip("quillgrid.llm.text")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quillgrid.llm import grammar, jaccard, pieces, quality, repetition, substring, toxicity, units  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
+
+from quillgrid.llm import grammar, graph, jaccard, pieces, quality, repetition, substring, toxicity, units  # noqa: E402
 from quillgrid.llm.packing import lengths  # noqa: E402
 from quillgrid.llm.text import Words, text_bytes, window_hashes  # noqa: E402
 
-ODD = ["", None, " ", "a  b", "a \n b\n\n c.\n", "x y  z　 q", "éÀ b", "don't 's \t tab", "<|endoftext|> hi", "é. é, a.b,c", "\n", "  lead", "trail  ", "1.5 2,3 x1.y", "▁x ▁", " " * 40 + "x", "a" * 100 + " " + "ab" * 80, "日本語 🙂"]
+ODD = ["", None, " ", "a  b", "a \n b\n\n c.\n", "x y  z　 q", "éÀ b", "don't 's \t tab", "<|endoftext|> hi", "a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|>  <|endoftext|><|endoftext|>", "<|endoftext", "|>", "é. é, a.b,c", "\n", "  lead", "trail  ", "1.5 2,3 x1.y", "▁x ▁", " " * 40 + "x", "a" * 100 + " " + "ab" * 80, "日本語 🙂"]
 
 
 def some_texts(n, seed=1):
@@ -26,11 +28,11 @@ def some_texts(n, seed=1):
 @pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", units.SPACE_UNITS), ("byte_bpe_50k.json", units.BYTE_UNITS)])
 def test_units_give_the_library_s_ids(name, kind):
     texts = some_texts(150)
-    enc = units.Encoder(public_tokenizers.path(name), kind)
+    enc, library = units.Encoder(public_tokenizers.path(name), kind), Tokenizer.from_file(public_tokenizers.path(name))
     batch, i = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"]), 0
     for b, flat, bounds in enc.encoded([batch], 7):
         for k in range(b.num_rows):
-            assert flat[bounds[k] : bounds[k + 1]].tolist() == enc.tok.encode(texts[i] or "", add_special_tokens=False).ids + [7]
+            assert flat[bounds[k] : bounds[k + 1]].tolist() == library.encode(texts[i] or "", add_special_tokens=False).ids + [7]
             i += 1
     assert i == len(texts)
 
@@ -104,20 +106,54 @@ def test_repetition_rules_against_counting():
             assert got[field][i] == len({p for j in range(len(w) - k + 1) if c[tuple(w[j : j + k])] > 1 for p in range(j, j + k)})
         lines = [x for x in (t or "").split("\n") if x.split()]
         assert got["n_dup_lines"][i] == len(lines) - len(set(lines))
-        longest = max((k for k in range(10, len(w)) if max(Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1)).values()) > 1), default=0)
-        assert got["longest_repeat"][i] == longest or (longest == 0 and got["longest_repeat"][i] < 10)
+        longest = max((k for k in range(1, len(w)) if max(Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1)).values()) > 1), default=0)
+        assert got["longest_repeat"][i] == longest
+        n, repeated, covered = len(w), got["n_repeat_words"][i], got["covered_words"][i]
+        assert got["base_failed"][i] == (n < 10 or 100 * repeated > 20 * n)
+        assert got["kept"][i] == (not got["base_failed"][i] and 100 * covered <= 15 * n and not (longest >= 30 and 100 * longest > 10 * n))
+        assert got["n_words"][i] == n and got["word_chars"][i] == sum(map(len, w)) and got["n_symbols"][i] == sum(c in "#*$%&|<>" for c in t or "")
 
 
-def test_phrases_partition_the_windows():
+def test_blocks_partition_the_windows():
     rng = random.Random(3)
     texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in (0, 34, 35, 36, 120, 400)] + ["a " * 90]
-    owner, at, size, seed, content = substring.phrases(Words(*text_bytes(pa.array(texts))))
+    owner, at, size, seed = substring.blocks_of(Words(*text_bytes(pa.array(texts))))
     for i, t in enumerate(texts):
         n = max(0, len(t.split()) - 34)
         covered = [p for a, s in zip(at[owner == i], size[owner == i]) for p in range(a, a + s)]
         assert covered == list(range(n)) and (size <= 20).all()
 
 
+def test_digests_are_of_the_words():
+    texts = ["a b  c\td", "x", "a b c d", " a\nb c d "]
+    w = Words(*text_bytes(pa.array(texts)))
+    got = substring.digests(w, w.bounds[:-1], w.bounds[1:])
+    assert (got[0] == got[2]).all() and (got[2] == got[3]).all() and (got[0] != got[1]).all()
+
+
+def test_forest():
+    rng = np.random.default_rng(4)
+    u, v = rng.integers(-400, 400, (2, 350))
+    ids, root = graph.forest(u, v)
+    reach = {int(x): {int(x)} for x in ids}
+    for a, b in zip(u.tolist(), v.tolist()):
+        if reach[a] is not reach[b]:
+            reach[a] |= reach[b]
+            for x in reach[b]:
+                reach[x] = reach[a]
+    assert {int(i): int(r) for i, r in zip(ids, root)} == {x: min(c) for x, c in reach.items()}
+
+
+def test_parity_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 40, 700):
+        both = rng.integers(0, 2**63, n, dtype=np.uint64)
+        x, y = (np.unique(np.concatenate((both, rng.integers(0, 2**63, k, dtype=np.uint64)))) for k in (n // 3, n // 9))
+        a, b = jaccard.parity(x), jaccard.parity(y)
+        size = min(len(a), len(b))
+        assert np.bitwise_count(jaccard.fold(a, size) ^ jaccard.fold(b, size)).sum() <= len(np.setxor1d(x, y))
+
+
 def test_segments_hold_the_bound():
     for n in (4, 7, 20, 100, 1000):
         assert jaccard.n_segments(n) == jaccard.limit(n) + 1 + jaccard.slack(n)
@@ -151,3 +187,46 @@ def test_toxicity_finds_unseen_spellings():
     seen, unseen, clean, empty, null = model.score(pa.array([" ".join([*calm[:9], w]) for w in ("vogonly", "vogonxs", calm[9])] + ["", None]))
     assert seen > 0.3 > clean and unseen > 10 * clean and empty == null and 0 <= empty <= 1
     assert toxicity.fit(pa.array(["a"]), np.array([1.0])).score(pa.array(["b"]))[0] > 0.9
+
+
+def test_trees_are_walked_as_node_by_node():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 6)).astype(np.float32)
+    model = quality.fit(x, (x[:, 0] * x[:, 2] > 0).astype(float))
+    for row, score in zip(x[:60], model.score(x[:60])):
+        margin = model.start
+        for feature, cut, value in zip(model.feature, model.cut, model.value):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            margin += value[node - len(feature)]
+        assert score == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-6)
+
+
+def plain_toxicity(model, text):
+    """One segment, one word and one subword after the other."""
+    words = (text or "").encode().lower().split()
+    logits = []
+    for k in range(0, len(words), toxicity.SEGMENT):
+        values = []
+        for w in words[k : k + toxicity.SEGMENT]:
+            data = np.frombuffer(w, np.uint8)
+            sub, _ = toxicity.subwords(data, np.array([0]), np.array([len(data)]))
+            values.append(float(np.mean([float(model.bucket[b]) for b in sub])))
+        logits.append(sum(values) / len(values) + model.bias)
+    top = sorted((max(x, model.bias) for x in logits), reverse=True)[: toxicity.TOP]
+    row = top + [model.bias] * (toxicity.TOP - len(top)) + [np.log1p(len(logits)), 1.0]
+    return 1 / (1 + np.exp(-float(np.dot(row, model.curve))))
+
+
+def test_toxicity_scores_as_word_by_word():
+    rng = random.Random(12)
+    calm, bad = ["".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(60)], ["zorkish", "zorkly"]
+    texts = [" ".join(rng.choice(calm) for _ in range(rng.randrange(1, 40))) + (" " + rng.choice(bad)) * (i % 3 == 0) for i in range(300)]
+    model = toxicity.fit(pa.array(texts), np.array([float(i % 3 == 0) for i in range(300)]))
+    some = [*texts[:40], "", None, "É Zorkish  ALL\ncaps", "one"]
+    assert model.score(pa.array(some)) == pytest.approx([plain_toxicity(model, t) for t in some], abs=1e-5)
+    # ties and repeated rows; no words at all; nothing frequent
+    assert len(set(model.score(pa.array([texts[0]] * 3)))) == 1
+    for t in (["", ""], ["a", "b"]):
+        assert toxicity.fit(pa.array(t), np.array([0.0, 1.0])).score(pa.array(t)).tolist() == pytest.approx([0.5, 0.5])

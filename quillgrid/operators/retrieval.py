@@ -180,9 +180,11 @@ def match(rules: DataFrame, chunks: DataFrame, params: Params = Params()) -> Dat
     full = asked & (F.col("n_short") >= c)
     found = found.withColumn("lexical_miss", asked & (F.col("n_short") == 0)).where(F.col("m") | F.col("s") | (F.col("g") & ~full))
     texts = chunks.select("doc_id", "chunk_pos", "chunk_id", "page_number", "text_redacted", "heading_guess", "section_title", "statement_area", "chunk_type", "note_number")
-    scored = found.join(texts, ["doc_id", "chunk_pos"])
-    have = T.token_set(search)
-    section = S.overlap(F.col("hint_sets"), T.token_set(F.concat_ws(" ", T.nn(heading), search)))
-    score = S.rank_score(F.col("similarity"), S.overlap(F.col("keyword_sets"), have), S.overlap(F.col("keyword_sets"), T.token_set(heading)), section)
-    ranked = _first(scored.withColumn("final_score", score), keys, [F.desc("final_score"), F.desc("similarity"), F.col("chunk_pos")], params.top_k)
+    # a chunk's tokens are found once, before it meets the rules that it is a candidate for
+    split = texts.withColumns({"_have": T.token_set(search), "_heading": T.token_set(heading), "_section": T.token_set(F.concat_ws(" ", T.nn(heading), search))})
+    scored = found.join(split, ["doc_id", "chunk_pos"])
+    kept = F.col("keyword_sets")
+    score = S.rank_score(F.col("similarity"), S.overlap(kept, F.col("_have")), S.overlap(kept, F.col("_heading")), S.overlap(F.col("hint_sets"), F.col("_section"))).alias("final_score")
+    scored = scored.select(*keys, "lexical_miss", "similarity", score, *texts.columns[1:])
+    ranked = _first(scored, keys, [F.desc("final_score"), F.desc("similarity"), F.col("chunk_pos")], params.top_k)
     return ranked.select("item_key", "doc_id", "rank", "final_score", "similarity", "lexical_miss", *texts.columns[1:])

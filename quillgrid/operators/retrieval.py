@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -14,24 +15,142 @@ from ..functions import scoring as S, text as T
 from ..params import Params
 
 
-def scoped(rules: DataFrame, chunks: DataFrame, params: Params) -> DataFrame:
-    """Rules joined to the chunks of their documents: by type_key if both have it. Rules are broadcast
-    if they are counted to be few; else dealt out by the key, or without one in blocks of about ``broadcast_rules`` that each chunk is sent to."""
-    n = rules.count()
-    few = n <= params.broadcast_rules
-    if "type_key" in rules.columns and "type_key" in chunks.columns:
-        return chunks.join(F.broadcast(rules) if few else rules, "type_key")
-    if few:
-        return chunks.join(F.broadcast(rules))
-    blocks = -(-n // params.broadcast_rules)
-    dealt = rules.withColumn("_block", F.pmod(F.xxhash64("item_key"), F.lit(blocks)).cast("int"))
-    return chunks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block").drop("_block")
+#: pairs of rules and vectors that are compared by one product of matrices, and pairs that are scored again at once
+TILE, AT_ONCE = 1 << 20, 1 << 16
+#: numbers that a task keeps of the scopes it has met
+KEPT = 1 << 23
+
+
+class Vectors:
+    """A column of lists of numbers. length: 0 for a list that is null or empty or has a null in it; such a list has no similarity."""
+
+    def __init__(self, column: pa.Array):
+        self.length = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.begin, flat = np.cumsum(self.length) - self.length, column.flatten()
+        self.flat = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+        if flat.null_count:
+            self.length[np.repeat(np.arange(len(self.length)), self.length)[flat.is_null().to_numpy(zero_copy_only=False)]] = 0
+
+    def columns(self, at: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of lists of length d: numbers by place, squared norms, and rows of length one in single precision.
+
+        Numbers are divided by a power of two, which changes no similarity and keeps squares in range.
+        """
+        m = self.flat[self.begin[at][:, None] + np.arange(d)]
+        m = np.ldexp(m, -np.frexp(np.abs(m).max(1, keepdims=True))[1]).T.copy()
+        squares = np.zeros(len(at))
+        for x in m:
+            squares += x * x
+        return m, squares, (m / np.maximum(np.sqrt(squares), 1e-12)).T.astype(np.float32)
+
+
+def _cosines(a: np.ndarray, aa: np.ndarray, b: np.ndarray, bb: np.ndarray) -> np.ndarray:
+    """C22 of pairs, in double and summed up in the order of the numbers as SQL's list_cosine_similarity does; 0 for a zero vector."""
+    dots = np.zeros(len(aa))
+    for x, y in zip(a, b):
+        dots += x * y
+    lengths = np.sqrt(aa * bb)
+    return np.clip(np.divide(dots, lengths, out=np.zeros(len(dots)), where=lengths != 0), -1.0, 1.0)
+
+
+def _top_of(a: tuple, b: tuple, best: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rules a and vectors b by position (both as ``columns`` gives them) -> rule, vector, similarity of all pairs that may be among a rule's first.
+
+    best: the highest similarities met of each rule, as many as are asked for; brought up to date. Products in single precision leave
+    out what is below the last of them by more than their error, and what is left is scored in double.
+    """
+    (a, aa, a1), (b, bb, b1) = a, b
+    k, n, d = best.shape[1], len(bb), len(a)
+    margin = 4 * (d + 8) * np.finfo(np.float32).eps
+    odd = np.isnan(a1).any() or np.isnan(b1).any()
+    for low in range(0, len(aa), step := max(1, TILE // n)):
+        own = best[low : low + step]
+        sims = a1[low : low + step] @ b1.T
+        if odd:  # NaN is above all numbers, as in SQL
+            sims[np.isnan(sims)] = np.inf
+        bound = own[:, 0]
+        if n > k and np.isneginf(bound).any():
+            bound = np.maximum(bound, np.partition(sims, n - k, axis=1)[:, n - k])
+        rule, at = np.nonzero(sims >= (bound - margin).astype(np.float32)[:, None])
+        score = np.empty(len(rule))
+        for i in range(0, len(rule), AT_ONCE):
+            r, v = low + rule[i : i + AT_ONCE], at[i : i + AT_ONCE]
+            score[i : i + AT_ONCE] = _cosines((x[r] for x in a), aa[r], (x[v] for x in b), bb[v])
+        by = np.where(np.isnan(score), np.inf, score)
+        order = np.lexsort((-by, rule))  # stable: of equal ones the first position
+        rank = np.arange(len(rule)) - np.searchsorted(rule, rule)  # rule ascends before and after
+        order, rank = order[rank < k], rank[rank < k]
+        rule, at, score, by = rule[order], at[order], score[order], by[order]
+        new = np.full(own.shape, -np.inf)
+        new[rule, rank] = by
+        own[:] = np.sort(np.concatenate([own, new], 1), 1)[:, -k:]
+        kept = by >= own[rule, 0]
+        yield low + rule[kept], at[kept], score[kept]
+
+
+def _nearest(rules: pa.Table, k: int, scope: str, typed: bool):
+    """Vectors -> for each rule and scope, all that may be among the first k, given what the task has met before."""
+    keys, asked = rules.column("item_key").combine_chunks(), Vectors(rules.column("rule_vec").combine_chunks())
+    types = rules.column("type_key").to_pylist() if typed else [0] * len(keys)
+    own: dict = defaultdict(lambda: defaultdict(list))  # by type and length
+    for i, (t, d) in enumerate(zip(types, asked.length.tolist())):
+        if t is not None:
+            own[t][d].append(i)
+    groups = {t: [(d, np.array(at), asked.columns(np.array(at), d) if d else None) for d, at in by.items()] for t, by in own.items()}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        for batch in batches:
+            batch = batch.take(pa.compute.sort_indices(batch, [(c, "ascending") for c in (scope, *["type_key"] * typed, "chunk_pos")]))
+            had = Vectors(batch.column("vec"))
+            scopes = list(zip(batch.column(scope).to_pylist(), batch.column("type_key").to_pylist() if typed else [0] * batch.num_rows))
+            found = []
+            for key, places in groupby(range(len(scopes)), scopes.__getitem__):
+                places = np.array(list(places))
+                if len(best) * len(keys) * k > KEPT:  # what is forgotten only makes more rows pass
+                    best.clear()
+                for d, at, columns in groups.get(key[1], ()):
+                    top = best.setdefault((key, d), np.full((len(at), k), -np.inf))
+                    like = places[had.length[places] == d] if d else places[:0]
+                    if len(like):
+                        found += [(at[r], like[v], s, np.zeros(len(s), bool)) for r, v, s in _top_of(columns, had.columns(like, d), top)]
+                    # pairs without a similarity come last
+                    rest = (places[had.length[places] != d] if d else places)[:k]
+                    short = at[np.isneginf(top[:, 0])] if len(rest) else rest
+                    if len(short):
+                        found.append((np.repeat(short, len(rest)), np.tile(rest, len(short)), np.zeros(len(short) * len(rest)), np.ones(len(short) * len(rest), bool)))
+            if found:
+                rule, at, similarity, none = map(np.concatenate, zip(*found))
+                at = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column(scope).take(at), keys.take(pa.array(rule)), batch.column("chunk_pos").take(at), pa.array(similarity, mask=none)], [scope, "item_key", "chunk_pos", "similarity"])
+
+    return work
 
 
 def cosine_topk(rules: DataFrame, vectors: DataFrame, k: int, params: Params = Params(), scope: str = "doc_id") -> DataFrame:
-    """Rules (item_key, rule_vec of length one) against vectors (scope, chunk_pos, vec of length one): the k nearest for each rule and scope."""
-    pairs = scoped(rules.select("item_key", "rule_vec", *[c for c in ("type_key",) if c in rules.columns]), vectors, params).select(scope, "item_key", "chunk_pos", S.dot(F.col("rule_vec"), F.col("vec")).alias("similarity"))
-    return _first(pairs, [scope, "item_key"], [F.desc("similarity"), F.col("chunk_pos")], k)
+    """Rules (item_key, rule_vec) against vectors (scope, chunk_pos, vec), of one type_key if both have it: the k nearest for each rule and scope.
+
+    Vectors may have any length; those of another number of dimensions, null or with nulls have no similarity and come last. Rules go to the executors in blocks of
+    at most ``broadcast_rules``, vectors are dealt out evenly once, and of the pairs only those that may be among the first leave a task.
+    """
+    spark = rules.sparkSession
+    typed = "type_key" in rules.columns and "type_key" in vectors.columns
+    typing = ["type_key"] * typed
+    rules = rules.select("item_key", *typing, F.col("rule_vec").cast("array<double>").alias("rule_vec"))
+    dealt = vectors.select(scope, *typing, "chunk_pos", "vec").repartition(spark.sparkContext.defaultParallelism).withColumn("vec", F.col("vec").cast("array<double>"))
+    kinds = dict(vectors.dtypes)
+    out = f"`{scope}` {kinds[scope]}, item_key {dict(rules.dtypes)['item_key']}, chunk_pos {kinds['chunk_pos']}, similarity double"
+    pairs = spark.createDataFrame([], out)
+    for some in rule_blocks(rules, params):
+        pairs = pairs.unionByName(dealt.mapInArrow(_nearest(some.toArrow(), k, scope, typed), out))
+    return _first(pairs, [scope, "item_key"], [F.desc("similarity"), F.asc_nulls_last("chunk_pos")], k)
+
+
+def rule_blocks(rules: DataFrame, params: Params) -> Iterator[DataFrame]:
+    """Rules in blocks of about ``broadcast_rules``, by their keys."""
+    blocks = -(-rules.count() // params.broadcast_rules)
+    for k in range(blocks):
+        yield rules if blocks == 1 else rules.where(F.pmod(F.xxhash64("item_key"), F.lit(blocks)) == k)
 
 
 def _first(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -142,11 +261,9 @@ def candidates(rules: DataFrame, chunks: DataFrame, most: int, gate: bool, param
     matrices, and only what may be among the first leaves a task. Empty rules or chunks give no rows.
     """
     spark = rules.sparkSession
-    blocks = -(-rules.count() // params.broadcast_rules)
     out = f"doc_id {dict(chunks.dtypes)['doc_id']}, item_key {dict(rules.dtypes)['item_key']}, chunk_pos {dict(chunks.dtypes)['chunk_pos']}, similarity double, kind string, by double"
     made = spark.createDataFrame([], out)
-    for k in range(blocks):
-        some = rules if blocks == 1 else rules.where(F.pmod(F.xxhash64("item_key"), F.lit(blocks)) == k)
+    for some in rule_blocks(rules, params):
         table = some.toArrow()
         made = made.unionByName(chunks.mapInArrow(_candidates(RuleBlock(table.to_pylist()), most, gate, table.schema), out))
     return _first(made, ["doc_id", "item_key", "kind"], [F.desc("by"), F.col("chunk_pos")], most)

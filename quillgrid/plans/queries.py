@@ -142,7 +142,7 @@ WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embed
 SELECT query_id, vec_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM p QUALIFY rank <= 12""")
 def cosine_topk(spark, sf_dir):
     """Every twentieth vector is a query, against all vectors."""
-    v = table(spark, sf_dir, "embeddings").select(F.lit("all").alias("doc_id"), F.col("vec_id").alias("chunk_pos"), S.unit(F.col("embedding")).alias("vec"))
+    v = table(spark, sf_dir, "embeddings").select(F.lit("all").alias("doc_id"), F.col("vec_id").alias("chunk_pos"), F.col("embedding").alias("vec"))
     rules = v.where("chunk_pos % 20 = 0").select(F.col("chunk_pos").alias("item_key"), F.col("vec").alias("rule_vec"))
     got = M.cosine_topk(rules, v, 12)
     return got.select(F.col("item_key").alias("query_id"), F.col("chunk_pos").alias("vec_id"), F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))

@@ -288,3 +288,60 @@ def test_rules_beyond_the_broadcast_bound(spark):
     few, many = (sorted(map(tuple, match(rules, chunks, Params(broadcast_rules=n)).select("item_key", "doc_id", "rank", "chunk_id", "final_score", "lexical_miss").collect())) for n in (100, 3))
     assert few == many and len(few) == 7 * 2 * 4 and all(math.isfinite(r[4]) for r in few)
     assert match(rules.limit(0), chunks).count() == 0 and match(rules, chunks.limit(0)).count() == 0
+
+
+def test_cosine_topk_equals_sql_in_any_batches(spark, tmp_path):
+    """Copies, multiples whose similarities differ in the last bit or not, near copies, NaN and null; batches of many sizes."""
+    import duckdb
+
+    from quillgrid.plans.queries import ORACLES, QUERIES
+
+    rng = random.Random(5)
+    rows: list = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(200)]
+    rows += [[x * by for x in rng.choice(rows[:40])] for by in (1.0, 3.0, 0.7, -1.1) for _ in range(60)]
+    rows += [[x + rng.uniform(-1e-6, 1e-6) for x in rows[rng.randrange(0, 40, 20)]] for _ in range(150)] + [rows[20]] * 70 + [None, [float("nan")] * 16, None]
+    rows[60] = None  # a query without a vector
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "vec_id bigint, embedding array<float>")
+    table.repartition(3).write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(map(str, con.execute(ORACLES["cosine_topk"]).fetchall()))
+    for most in (10_000, 50, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            got = QUERIES["cosine_topk"](spark, str(tmp_path))
+            assert sorted(str(tuple(r)) for r in got.collect()) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "NestedLoopJoin" not in got._jdf.queryExecution().toString()  # pairs are not rows
+
+
+def test_cosine_topk_of_types_scopes_and_lengths(spark):
+    """Rules in blocks against several documents; what has no similarity comes last, and only where there is nothing else."""
+    from math import sqrt
+
+    rng = random.Random(6)
+    vec = lambda d: [rng.uniform(-1, 1) for _ in range(d)]
+    odd = [None, [], [0.0, 0.0, 0.0], [1.0, None, 2.0], [1.0, 2.0], [1e200, 1e200, 0.0], [1e-200, 0.0, 1e-200]]
+    rules = [(f"r{i}", rng.choice("ab"), v) for i, v in enumerate([vec(3) for _ in range(6)] + odd)]
+    vectors = [(doc, k, rng.choice(["a", "b", None]), v) for doc in ("x", "y", None) for k, v in enumerate([vec(3) for _ in range(9 if doc else 2)] + odd)]
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or None in a + b:
+            return None
+        (a, b) = ([x / max(map(abs, v)) if any(v) else x for x in v] for v in (a, b))
+        n = sqrt(sum(x * x for x in a)) * sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / n if n else 0.0
+
+    for typed in (True, False):
+        want = set()
+        for item, kind, rule in rules:
+            for doc in ("x", "y", None):
+                found = [(cosine(rule, v), k) for d, k, t, v in vectors if d == doc and (t == kind or not typed)]
+                found.sort(key=lambda s: (s[0] is None, -round(s[0] or 0.0, 12), s[1]))
+                want |= {(doc, item, k, s if s is None else round(s, 9) + 0.0, i + 1) for i, (s, k) in enumerate(found[:4])}
+        r = spark.createDataFrame(rules, "item_key string, type_key string, rule_vec array<double>")
+        v = spark.createDataFrame(vectors, "doc_id string, chunk_pos int, type_key string, vec array<double>")
+        got = cosine_topk(r if typed else r.drop("type_key"), v, 4, Params(broadcast_rules=5)).select("doc_id", "item_key", "chunk_pos", "similarity", "rank")
+        assert {(*x[:3], x[3] if x[3] is None else round(x[3], 9) + 0.0, x[4]) for x in got.collect()} == want
+    assert cosine_topk(r.limit(0), v, 4).count() == 0 and cosine_topk(r, v.limit(0), 4).count() == 0

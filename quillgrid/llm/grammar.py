@@ -20,6 +20,8 @@ SHARD_IDS = 1 << 20
 PAIRS, LEAST = 2048, 8
 #: Bits of the table that pairs are looked up in.
 TABLE_BITS = 18
+#: A round closes up the gaps if it replaces one symbol in so many at least.
+GAPS = 16
 #: Shard format, version 1, little-endian: magic, version, count of terminals, rules, documents,
 #: symbols, ids (6 x u32); rules (left, right: u32 each); expansion length of each rule (u32);
 #: first symbol of each document and the end (u32 each); ids of each document (u32 each); symbols (u16 or,
@@ -37,24 +39,25 @@ def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int) -> bytes:
     count or the symbols are used up. No pair crosses documents, so every
     document starts at a symbol.
     """
-    seq = ids.astype(np.uint32)
-    first = np.zeros(len(seq) + 1, bool)
-    first[bounds] = True
-    first = first[: len(seq)]  # a symbol that begins a document
+    seq = np.append(ids.astype(np.uint32), np.uint32(0))  # with a border
+    first = np.zeros(len(seq), bool)
+    first[bounds] = first[-1] = True  # a symbol that begins a document
     left, right, size = [], [], [np.ones(terminals, np.int64)]
     n = terminals
     narrow = terminals < 1 << 16
     kind, half = (np.uint32, 16) if narrow else (np.uint64, 32)
     low = kind((1 << half) - 1)
     spread = lambda k: ((k * kind(0x9E3779B1 if narrow else 0x9E3779B97F4A7C15)) >> kind(2 * half - TABLE_BITS)).astype(np.int64)
-    frequent, newest = None, n
-    while len(seq) >= 2:
-        key = (seq[:-1].astype(kind) << kind(half)) | seq[1:].astype(kind)
+    rank = np.full(len(seq), 1 << 30, np.int32)
+    # Where pairs are counted: after the first round a pair is frequent only if it was so before or holds a new symbol; all of its occurrences are counted.
+    live = np.flatnonzero(~first[1:])
+    # Rounds that replace much close up the gaps, so that symbols lie side by side; the others leave gaps and link the symbols.
+    linked = False
+    while len(live):
+        beside = after[live] if linked else live + 1
+        key = (seq[live].astype(kind) << kind(half)) | seq[beside].astype(kind)
         where = spread(key)
-        inner = ~first[1:]
-        # after the first round a pair is frequent only if it was so before or holds a new symbol; all of its occurrences are counted
-        some = inner if frequent is None else inner & (frequent[where] | (seq[:-1] >= newest) | (seq[1:] >= newest))
-        sorted_ = np.sort(key[some])
+        sorted_ = np.sort(key)
         at = run_starts(sorted_)
         count = np.diff(np.append(at, len(sorted_)))
         room = min(PAIRS, (1 << 16) - n if narrow else PAIRS)
@@ -63,26 +66,31 @@ def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int) -> bytes:
             break
         good = good[np.argsort(-count[good], kind="stable")]
         pairs = sorted_[at[good]]
-        frequent = np.zeros(1 << TABLE_BITS, bool)
-        frequent[spread(pairs)] = True
-        pairs = pairs[:room]
         # of pairs with one place in the table the most frequent has it; the other waits for the next round
         table = np.full(1 << TABLE_BITS, -1, np.int32)
         table[spread(pairs)[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
         named = table[where]
-        own = np.flatnonzero((named >= 0) & inner)
-        own = own[pairs[named[own]] == key[own]]
-        rank = np.full(len(key) + 2, 1 << 30, np.int32)  # with a border on both sides
-        rank[own + 1] = named[own]
-        own += 1
-        begins = np.ones(len(own), bool)
-        begins[1:] = (np.diff(own) > 1) | (np.diff(rank[own]) != 0)
-        run = np.flatnonzero(begins)
-        odd = (np.arange(len(own)) - np.repeat(run, np.diff(np.append(run, len(own))))) % 2 == 1
-        rank[own[odd]] = 1 << 30
-        own = own[~odd]
-        best = own[(rank[own] < rank[own - 1]) & (rank[own] <= rank[own + 1])] - 1
-        named = rank[best + 1].astype(np.int64)
+        frequent = np.flatnonzero(named >= 0)
+        named, stay = named[frequent], live[frequent]
+        pairs = pairs[:room]
+        own = np.flatnonzero(named < room)
+        named, at, own = named[own], frequent[own], stay[own]
+        same = pairs[named] == key[at]
+        named, at, own = named[same], at[same], own[same]
+        twin = np.flatnonzero(((pairs >> kind(half)) == (pairs & low))[named])  # only pairs of one symbol twice overlap themselves
+        if len(twin):
+            begins = np.ones(len(twin), bool)
+            begins[1:] = (beside[at[twin[:-1]]] != own[twin[1:]]) | (np.diff(named[twin]) != 0)
+            run = np.flatnonzero(begins)
+            odd = (np.arange(len(twin)) - np.repeat(run, np.diff(np.append(run, len(twin))))) % 2 == 1
+            keep = np.ones(len(own), bool)
+            keep[twin[odd]] = False
+            named, at, own = named[keep], at[keep], own[keep]
+        gone = beside[at]
+        rank[own] = named
+        best = np.flatnonzero((named < rank[before[own] if linked else own - 1]) & (named <= rank[gone]))  # the border is before the first symbol too
+        rank[own] = 1 << 30
+        named, gone, best = named[best].astype(np.int64), gone[best], own[best]
         used = np.bincount(named, minlength=len(pairs)) > 0  # a pair that better ones overlap everywhere gets no symbol
         pairs, named = pairs[used], (np.cumsum(used) - 1)[named]
         l, r = (pairs >> kind(half)).astype(np.int64), (pairs & low).astype(np.int64)
@@ -90,12 +98,33 @@ def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int) -> bytes:
         left.append(l)
         right.append(r)
         size.append(lengths[l] + lengths[r])
-        newest = n
         seq[best] = (n + named).astype(np.uint32)
-        keep = np.ones(len(seq), bool)
-        keep[best + 1] = False
-        seq, first = seq[keep], first[keep]
         n += len(pairs)
+        if not linked and GAPS * len(gone) >= len(seq):
+            alive, marked = np.ones(len(seq), bool), np.zeros(len(seq), bool)
+            alive[gone] = False
+            marked[stay] = marked[best] = True
+            kept = np.flatnonzero(alive)
+            seq, first, marked = seq[kept], first[kept], marked[kept]
+            new = seq[:-1] >= n - len(pairs)
+            marked[:-2] |= new[1:]
+            live = np.flatnonzero(marked)
+            live = live[~first[live + 1]]
+            rank = rank[: len(seq)]
+            continue
+        if not linked:
+            after, before, alive = np.arange(1, len(seq) + 1), np.arange(-1, len(seq) - 1), np.ones(len(seq), bool)
+            linked = True
+        alive[gone] = False
+        after[best] = after[gone]
+        before[after[best]] = best
+        live = np.sort(np.concatenate((stay, best, before[best])))
+        live = live[run_starts(live)]
+        live = live[alive[live] & (live >= 0)]
+        live = live[~first[after[live]]]
+    if linked:
+        seq, first = seq[alive], first[alive]
+    seq, first = seq[:-1], first[:-1]
     rules = np.stack((np.concatenate(left), np.concatenate(right)), 1).astype("<u4") if left else np.zeros((0, 2), "<u4")
     lengths = np.concatenate(size)[terminals:].astype("<u4")
     full = np.diff(bounds) > 0  # a document without ids begins where the next one does

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,26 @@ def test_units_give_the_library_s_ids(name, kind):
     assert i == len(texts)
 
 
+def test_units_of_letters_go_to_the_model_together():
+    words = ["Haus", "über", "naïveté", "straße", "don't", "x×", "y÷", "Ÿ", "ñandú", "a1", "ÿ", "é"] + ["w" + "abcde"[k % 5] * (k // 5 + 1) for k in range(100)]
+    ends = ["", "!!", "?", "$$$", "'s", ".", ",&", "7", "-é"]
+    texts = [" ".join(w + e for w in words) + "\n" + "\n".join(w + e for w in reversed(words)) for e in ends]
+    path, calls = public_tokenizers.path("byte_bpe_50k.json"), []
+    enc, library = units.Encoder(path, units.BYTE_UNITS), Tokenizer.from_file(path)
+    model = SimpleNamespace(tokenize=lambda x: calls.append(x) or library.model.tokenize(x), token_to_id=library.model.token_to_id)
+    enc.tok = SimpleNamespace(model=model, encode_batch_fast=library.encode_batch_fast)
+    flat, bounds = enc.flat(*text_bytes(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert flat[bounds[i] : bounds[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+    assert len(calls) * 8 < len(enc.known) < 350  # each word with and without a space, each end once
+
+
+def test_hashes_that_differ_in_the_low_bits_only():
+    h = np.array([5, 4, 5, 4, 1 << 40, 5, 4], np.uint64)
+    order, in_turn = units.in_order(h)
+    assert in_turn.tolist() == sorted(h.tolist()) and (h[order] == in_turn).all()
+
+
 def test_units_when_the_store_is_full(monkeypatch):
     monkeypatch.setattr(units, "KEPT_UNITS", 20)
     test_units_give_the_library_s_ids("byte_bpe_50k.json", units.BYTE_UNITS)
@@ -83,6 +104,22 @@ def test_grammar_goes_on_until_no_pair_is_frequent(terminals):
     assert max(pairs.values()) < grammar.LEAST and shard.starts[1] < 20
 
 
+@pytest.mark.parametrize("terminals", [6, 50257, 70000])
+def test_grammar_is_the_same_whether_gaps_are_closed_or_linked(terminals, monkeypatch):
+    rng = np.random.default_rng(4)
+    ids = np.concatenate((rng.integers(0, 6, 4000), np.full(333, 5), np.tile([1, 1, 2], 200))).astype(np.uint32)
+    for cut in ([], [0, 0, 7, 4100, len(ids)], rng.integers(0, len(ids), 200)):
+        bounds, blobs = np.concatenate(([0], np.sort(np.array(cut, np.int64)), [len(ids)])), set()
+        for gaps in (1, 16, 1 << 40):
+            monkeypatch.setattr(grammar, "GAPS", gaps)
+            blobs.add(grammar.compress(ids, bounds, terminals))
+        (blob,) = blobs
+        shard = grammar.Shard(blob)
+        assert (shard.decode(0, shard.n_docs) == ids).all()
+        pairs = Counter(p for a, b in zip(shard.starts.tolist()[:-1], shard.starts.tolist()[1:]) for p in zip(shard.symbols[a : b - 1].tolist(), shard.symbols[a + 1 : b].tolist()))
+        assert max(pairs.values()) < grammar.LEAST
+
+
 def test_words_and_windows():
     texts = some_texts(60, 5)
     w = Words(*text_bytes(pa.array(texts)))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .store import Scratch
-from .text import run_starts
+from .text import give_back, keep_freed, run_starts
 from .units import BYTE_UNITS, encoder
 
 #: A shard ends with the document that brings it to so many ids.
@@ -217,6 +217,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, t
     A task holds one shard at a time, or one document if that is longer.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         enc = encoder(tokenizer, BYTE_UNITS)
         docs_, parts, held, part, shard = [], [], 0, None, 0
 
@@ -236,6 +237,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, t
                     docs_, parts, held, shard = [], [], 0, shard + 1
         if docs_:
             yield flush()
+        give_back()
 
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

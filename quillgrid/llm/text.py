@@ -62,6 +62,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def keep_freed() -> None:
+    """Use freed memory again instead of fetching new pages for every large array (where the C library has these settings)."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
+
+
 def give_back() -> None:
     """Return freed memory to the system, so that a worker that waits for its next task holds little."""
     pa.default_memory_pool().release_unused()
